@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textinsight.session import spread
 from textinsight.functions.text import LINE_BREAK, NON_ASCII, WHITESPACE
 
 STOP_WORDS = ["the", "of", "and", "la", "de", "der"]
@@ -19,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name), key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread_table(spark, sf_dir, "documents", "doc_id")
 
 
 def in_list(values) -> str:
@@ -139,7 +144,7 @@ MAX_DEPTH = 2
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread_table(spark, sf_dir, "pages", "page_id")
 
 
 def _text(*parts) -> Column:

@@ -94,7 +94,7 @@ def tfidf_all(spark, sf_dir):
 
 
 def vocab_limit(spark, sf_dir):
-    return tfidf.group_vocabulary(C.documents(spark, sf_dir), "lang", "text", C.STOP_WORDS)
+    return tfidf.group_vocabulary(C.documents(spark, sf_dir), "lang", "doc_id", "text", C.STOP_WORDS)
 
 
 def _group_weights(spark, sf_dir):
@@ -271,36 +271,45 @@ def build_report(spark, sf_dir):
 def complete_query(spark, sf_dir):
     groups = cut_lineage(_groups(spark, sf_dir))
     replies = complete(
-        prompts.cluster_messages(groups, C.SURVEY, C.QUESTION, "lang"), _counting_client, temperature=0.5
+        prompts.cluster_messages(groups, C.SURVEY, C.QUESTION, "lang"), _counting_model(), temperature=0.5
     )
     return replies.select("lang", "part", "reply", "error")
 
 
-def _counting_client():
-    """Stands in for a model: answers with the size of the prompt."""
+def _counting_model():
+    """Stands in for a model: answers with the size of the prompt, or fails.
 
-    def client(messages, temperature):
-        size = sum(len(message["content"]) for message in messages)
-        if size % 4 == 3:
-            raise ValueError("no answer")
-        return f"{size} characters at {temperature}"
+    Nested, so that it travels to the workers by value.
+    """
 
-    return client
+    def make_client():
+        def client(messages, temperature):
+            size = sum(len(message["content"]) for message in messages)
+            if size % 4 == 3:
+                raise ValueError("no answer")
+            return f"{size} characters at {temperature}"
 
+        return client
 
-def _theme_client():
-    """Stands in for a model: a title from the number of answers, one action."""
+    return make_client
 
-    def client(messages, temperature):
-        answers = messages[1]["content"].split("\nAnswers:\n", 1)[1]
-        return '```json\n{"title": "Theme of %d", "insight": "All of it", "actions": ["Act"]}\n```' % len(answers)
 
-    return client
+def _theme_model():
+    """Stands in for a model: a title from the size of the answers, one action."""
+
+    def make_client():
+        def client(messages, temperature):
+            answers = messages[1]["content"].split("\nAnswers:\n", 1)[1]
+            return '```json\n{"title": "Theme of %d", "insight": "All of it", "actions": ["Act"]}\n```' % len(answers)
+
+        return client
+
+    return make_client
 
 
 def summarize_clusters_query(spark, sf_dir):
     insights = summarize_clusters(
-        C.documents(spark, sf_dir), C.SURVEY, C.QUESTION, _theme_client, "lang", "doc_id", "text", PART_CHARS
+        C.documents(spark, sf_dir), C.SURVEY, C.QUESTION, _theme_model(), "lang", "doc_id", "text", PART_CHARS
     )
     return insights.select("lang", "parsed.title", "parsed.insight", F.array_join("parsed.actions", "|").alias("actions"))
 

@@ -17,7 +17,8 @@ from .text import WHITESPACE, bind, strip
 
 # A Unicode noncharacter, so it cannot be page text.
 MARK = "﷐"
-ATTRIBUTES = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
+# Possessive, so that Java's matcher loops instead of recursing on long tags.
+ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 TAG = rf"</?[A-Za-z]{ATTRIBUTES}>|</?[A-Za-z][^>]*>"
 COMMENT = r"<!--.*?(?:-->|\z)|<![A-Za-z][^>]*>|<\?[^>]*>"
 SCRIPT = rf"<script\b{ATTRIBUTES}>.*?(?:</script[^>]*>|\z)"
@@ -37,9 +38,10 @@ CP1252 = {
     for code in range(128, 160)
     if (char := bytes([code]).decode("cp1252", "ignore"))
 }
-# Entities that make up nearly all real text are looked up first.
+# Entities that make up nearly all real text come first, as a map is searched in order.
 FREQUENT = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "apos;", "copy;", "middot;", "hellip;", "mdash;",
             "ndash;", "lsquo;", "rsquo;", "ldquo;", "rdquo;", "reg;", "trade;", "euro;")
+NAMED = {name: html5[name] for name in FREQUENT} | html5
 
 
 def _literal_map(pairs: dict[str, str]) -> Column:
@@ -48,27 +50,38 @@ def _literal_map(pairs: dict[str, str]) -> Column:
 
 
 def _code_point(number: Column) -> Column:
-    """The character of a decimal code point string, or null."""
+    """The character of a decimal code point string."""
     code = number.try_cast("bigint")
     usable = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, code)), 8, "0")), "UTF-32")
     return F.coalesce(F.try_element_at(_literal_map(CP1252), number), char, F.lit("�"))
 
 
+def _meaning(reference: Column) -> Column:
+    """Characters of a reference such as ``amp;``, ``#39;`` or ``#x27``; null when unknown."""
+    hexadecimal = F.conv(F.regexp_extract(reference, r"^#[xX]([0-9A-Fa-f]+)", 1), 16, 10)
+    decimal = F.regexp_replace(reference, "^#0*|;", "")
+    number = F.when(reference.rlike("^#[xX]"), hexadecimal).otherwise(decimal)
+    return (
+        F.when(reference == "", F.lit(None))
+        .when(reference.startswith("#"), bind(number, _code_point))
+        .otherwise(F.try_element_at(_literal_map(NAMED), reference))
+    )
+
+
 def _replace_reference(piece: Column) -> Column:
     """``piece`` is what followed an ampersand."""
-    body = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)", 1)
-    digits = F.regexp_extract(body, r"^#([0-9]+)", 1)
-    hexits = F.regexp_extract(body, r"^#[xX]([0-9A-Fa-f]+)", 1)
-    number = F.regexp_replace(F.when(digits != "", digits).otherwise(F.conv(hexits, 16, 10)), "^0+", "")
-    named = F.coalesce(
-        F.try_element_at(_literal_map({name: html5[name] for name in FREQUENT}), body),
-        F.try_element_at(_literal_map(html5), body),
-    )
-    char = F.when(body.startswith("#"), _code_point(number)).otherwise(named)
-    return F.when(
-        (body != "") & char.isNotNull(), F.concat(char, F.substr(piece, F.length(body) + 1))
-    ).otherwise(F.concat(F.lit("&"), piece))
+    reference = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)", 1)
+
+    def decoded(found: Column) -> Column:
+        return bind(
+            _meaning(found),
+            lambda char: F.when(
+                char.isNotNull(), F.concat(char, F.substr(piece, F.length(found) + 1))
+            ).otherwise(F.concat(F.lit("&"), piece)),
+        )
+
+    return bind(reference, decoded)
 
 
 def unescape(text: Column) -> Column:
@@ -79,7 +92,9 @@ def unescape(text: Column) -> Column:
             F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_replace_reference(piece))), ""
         )
 
-    return F.when(F.instr(text, "&") > 0, bind(F.split(text, "&"), decode)).otherwise(text)
+    return bind(
+        text, lambda raw: F.when(F.instr(raw, "&") > 0, bind(F.split(raw, "&"), decode)).otherwise(raw)
+    )
 
 
 def visible_markup(html: Column) -> Column:
@@ -94,10 +109,14 @@ def attribute(tag: Column, name: str) -> Column:
         F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0)),
         lambda pair: pair.rlike(rf"(?is)^{name}\s*(?:=|\z)"),
     )
-    pair = F.try_element_at(found, F.lit(-1))
-    value = F.regexp_replace(pair, r"(?s)^[^=]*(?:=\s*|\z)", "")
-    quoted = value.rlike(r"""^["']""")
-    return unescape(F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+    raw = F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"(?s)^[^=]*(?:=\s*|\z)", "")
+    unquoted = bind(
+        raw,
+        lambda value: F.when(
+            value.rlike(r"""^["']"""), F.substr(value, F.lit(2), F.length(value) - 2)
+        ).otherwise(value),
+    )
+    return unescape(unquoted)
 
 
 def _text_nodes(markup: Column, separator: str) -> Column:
@@ -119,15 +138,20 @@ def links(markup: Column) -> Column:
 def title(markup: Column) -> Column:
     """Stripped text of the first title; empty when it has child nodes or is absent."""
     inner = F.regexp_extract(markup, rf"(?is)<title(?:\s{ATTRIBUTES})?>(.*?)(?:</title\s*>|\z)", 1)
-    nested = inner.contains(MARK) | inner.rlike(rf"(?is){TAG}")
-    return F.when(nested, "").otherwise(strip(unescape(inner)))
+    return bind(
+        inner,
+        lambda content: F.when(
+            content.contains(MARK) | content.rlike(rf"(?is){TAG}"), ""
+        ).otherwise(strip(unescape(content))),
+    )
 
 
 def meta_description(markup: Column) -> Column:
     """Stripped ``content`` of the first description meta tag; empty when absent."""
     metas = F.regexp_extract_all(markup, F.lit(rf"(?is)<meta\s{ATTRIBUTES}>"), F.lit(0))
     described = F.filter(metas, lambda meta: attribute(meta, "name") == "description")
-    return F.coalesce(strip(attribute(F.get(described, 0), "content")), F.lit(""))
+    content = bind(F.get(described, 0), lambda meta: attribute(meta, "content"))
+    return F.coalesce(strip(content), F.lit(""))
 
 
 def h1_texts(markup: Column) -> Column:

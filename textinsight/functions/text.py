@@ -49,13 +49,14 @@ def terms(text: Column, stop_words: Sequence[str] = ()) -> Column:
     return without(words(text, 2), stop_words)
 
 
-def bigrams(tokens: Column) -> Column:
-    """Neighbouring tokens joined by one space."""
+def bigrams(tokens: Column, followers: Column | None = None) -> Column:
+    """Each token joined by one space with the next of ``followers`` (by default ``tokens``)."""
+    followers = tokens if followers is None else followers
     return F.when(
         F.size(tokens) > 1,
         F.zip_with(
             F.slice(tokens, F.lit(1), F.size(tokens) - 1),
-            F.slice(tokens, F.lit(2), F.size(tokens) - 1),
+            F.slice(followers, F.lit(2), F.size(followers) - 1),
             lambda first, second: F.concat(first, F.lit(" "), second),
         ),
     ).otherwise(F.array().cast("array<string>"))
@@ -65,31 +66,64 @@ def unigrams_and_bigrams(tokens: Column) -> Column:
     return bind(tokens, lambda seq: F.concat(seq, bigrams(seq)))
 
 
+def _runs(ordered: Column, key: Callable[[Column], Column], entry: Callable[[Column, Column], Column]) -> Column:
+    """One ``entry(first item, length)`` per run of equal keys of a sorted array."""
+    starts = F.array_compact(
+        F.transform(
+            ordered,
+            lambda item, i: F.when((i == 0) | (key(item) != key(F.get(ordered, i - 1))), i),
+        )
+    )
+    return bind(
+        starts,
+        lambda start: F.transform(
+            start,
+            lambda at, i: entry(
+                F.get(ordered, at),
+                (F.coalesce(F.get(start, i + 1), F.size(ordered)) - at).cast("bigint"),
+            ),
+        ),
+    )
+
+
 def term_counts(tokens: Column) -> Column:
     """``array<struct<term, tf>>`` of one row, by run length over the sorted tokens.
 
     A document is one row, so its counts need no shuffle.
     """
+    return bind(
+        F.sort_array(tokens),
+        lambda ordered: _runs(
+            ordered, lambda term: term, lambda term, n: F.struct(term.alias("term"), n.alias("tf"))
+        ),
+    )
+
+
+def keyword_counts(
+    text: Column, min_chars: int = 4, skip_prefixes: Sequence[str] = ("http", "www")
+) -> Column:
+    """``array<struct<word, n, pos>>`` of the keywords of one text; ``pos`` is the first position."""
+    placed = F.transform(words(text), lambda word, i: F.struct(word.alias("word"), i.alias("pos")))
+    kept = F.filter(placed, lambda item: keep_keyword(item["word"], min_chars, skip_prefixes))
+    return bind(
+        F.sort_array(kept),
+        lambda ordered: _runs(
+            ordered,
+            lambda item: item["word"],
+            lambda item, n: F.struct(item["word"].alias("word"), n.alias("n"), item["pos"].alias("pos")),
+        ),
+    )
 
-    def runs(ordered: Column) -> Column:
-        starts = F.array_compact(
-            F.transform(
-                ordered,
-                lambda term, i: F.when((i == 0) | (term != F.get(ordered, i - 1)), i),
-            )
-        )
-        return bind(
-            starts,
-            lambda start: F.transform(
-                start,
-                lambda at, i: F.struct(
-                    F.get(ordered, at).alias("term"),
-                    (F.coalesce(F.get(start, i + 1), F.size(ordered)) - at).cast("bigint").alias("tf"),
-                ),
-            ),
-        )
 
-    return bind(F.sort_array(tokens), runs)
+def top_keywords(text: Column, min_chars: int = 4, top_n: int = 20) -> Column:
+    """The most frequent keywords of one text, ties in first-seen order."""
+    ranked = F.sort_array(
+        F.transform(
+            keyword_counts(text, min_chars),
+            lambda item: F.struct((-item["n"]).alias("n"), item["pos"].alias("pos"), item["word"].alias("word")),
+        )
+    )
+    return F.transform(F.slice(ranked, 1, top_n), lambda item: item["word"])
 
 
 def starts_with_any(word: Column, prefixes: Sequence[str]) -> Column:

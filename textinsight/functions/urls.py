@@ -65,31 +65,50 @@ def _merged_path(base_path: Column, path: Column) -> Column:
     )
 
 
-def url_join(base: Column, reference: Column) -> Column:
-    """Resolve ``reference`` against the page URL ``base``."""
-    ref = F.regexp_replace(F.regexp_replace(reference, r"^[\x00- ]+", ""), r"[\t\r\n]", "")
-    base_scheme, ref_scheme = scheme(base), scheme(ref)
-    has_authority = ref.rlike(HAS_AUTHORITY)
-    ref_path = F.regexp_extract(ref, PATH, 1)
-    ref_query = F.regexp_extract(ref, QUERY, 1)
-    ref_fragment = F.regexp_extract(ref, FRAGMENT, 1)
-    base_path = F.regexp_extract(base, PATH, 1)
-
-    host = F.when(has_authority, netloc(ref)).otherwise(netloc(base))
+def _parts(url: Column) -> Column:
+    return F.struct(
+        scheme(url).alias("scheme"),
+        url.rlike(HAS_AUTHORITY).alias("has_host"),
+        netloc(url).alias("host"),
+        F.regexp_extract(url, PATH, 1).alias("path"),
+        F.regexp_extract(url, QUERY, 1).alias("query"),
+        F.regexp_extract(url, FRAGMENT, 1).alias("fragment"),
+    )
+
+
+def _resolve(base: Column, ref: Column) -> Column:
+    """Resolve the parts of a reference that has the scheme of its base."""
+    empty_path = ~ref["has_host"] & (ref["path"] == "")
     path = (
-        F.when(has_authority, ref_path)
-        .when(ref_path == "", base_path)
-        .otherwise(_merged_path(base_path, ref_path))
+        F.when(ref["has_host"], ref["path"])
+        .when(ref["path"] == "", base["path"])
+        .otherwise(_merged_path(base["path"], ref["path"]))
+    )
+    query = F.when(empty_path & (ref["query"] == ""), base["query"]).otherwise(ref["query"])
+    rooted = bind(
+        path, lambda p: F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
     )
-    query = F.when(
-        ~has_authority & (ref_path == "") & (ref_query == ""), F.regexp_extract(base, QUERY, 1)
-    ).otherwise(ref_query)
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    resolved = F.concat(
-        base_scheme, F.lit("://"), host, rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(ref_fragment != "", F.concat(F.lit("#"), ref_fragment)).otherwise(""),
+    return F.concat(
+        base["scheme"],
+        F.lit("://"),
+        F.when(ref["has_host"], ref["host"]).otherwise(base["host"]),
+        rooted,
+        bind(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")),
+        F.when(ref["fragment"] != "", F.concat(F.lit("#"), ref["fragment"])).otherwise(""),
     )
-    foreign = (ref_scheme != "") & (ref_scheme != base_scheme)
-    relative_base = base_scheme.isin("http", "https")
-    return F.when(reference == "", base).when(foreign | ~relative_base, reference).otherwise(resolved)
+
+
+def url_join(base: Column, reference: Column) -> Column:
+    """Resolve ``reference`` against the page URL ``base``."""
+    cleaned = F.regexp_replace(F.regexp_replace(reference, r"^[\x00- ]+", ""), r"[\t\r\n]", "")
+
+    def joined(pair: Column) -> Column:
+        base_parts, ref = pair["base"], pair["ref"]
+        foreign = (ref["scheme"] != "") & (ref["scheme"] != base_parts["scheme"])
+        return (
+            F.when(reference == "", base)
+            .when(foreign | ~base_parts["scheme"].isin("http", "https"), reference)
+            .otherwise(_resolve(base_parts, ref))
+        )
+
+    return bind(F.struct(_parts(base).alias("base"), _parts(cleaned).alias("ref")), joined)

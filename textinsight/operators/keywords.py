@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keep_keyword, words
+from ..functions.text import keyword_counts
 from .tfidf import tfidf_by_group
 
 # Scores are rounded before they are ranked, so that equal sums stay equal.
@@ -55,11 +55,14 @@ def word_counts(
     df: DataFrame, group: str, order_col: str, text_col: str = "text", min_chars: int = 4,
     skip_prefixes: Sequence[str] = ("http", "www"),
 ) -> DataFrame:
-    """``(group, word, n, first_seen)``; ``first_seen`` is (page order, word position)."""
-    seen = df.select(group, order_col, F.posexplode(words(F.col(text_col))).alias("_pos", "word"))
-    kept = seen.filter(keep_keyword(F.col("word"), min_chars, skip_prefixes))
-    return kept.groupBy(group, "word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(order_col, "_pos")).alias("first_seen")
+    """``(group, word, n, first_seen)``; ``first_seen`` is (page order, word position).
+
+    A page counts its own words first, so one row per page and word is shuffled.
+    """
+    counts = F.explode(keyword_counts(F.col(text_col), min_chars, skip_prefixes))
+    rows = df.select(group, order_col, counts.alias("_count"))
+    return rows.groupBy(group, F.col("_count.word").alias("word")).agg(
+        F.sum("_count.n").alias("n"), F.min(F.struct(order_col, "_count.pos")).alias("first_seen")
     )
 
 

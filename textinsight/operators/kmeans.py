@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..session import cut_lineage
-from .tfidf import doc_frequency, hot_terms, resolve_stop_words, salted_term_join, tfidf
+from .tfidf import doc_frequency, hot_terms, resolve_stop_words, term_join, tfidf
 
 # Centroids are dense in the ML pipeline, so it is used up to this vocabulary size.
 ML_VOCABULARY = 200_000
@@ -45,7 +45,7 @@ def assign_to_centroids(
     centroid of least norm. ``cost`` is the squared distance less the squared
     norm of the document.
     """
-    dots = salted_term_join(pairs, centroids, hot, F.col(id_col)).groupBy(id_col).agg(
+    dots = term_join(pairs, centroids, hot, F.col(id_col)).groupBy(id_col).agg(
         F.array(*[F.sum(F.col("weight") * F.col("c")[i]) for i in range(k)]).alias("_dots")
     )
     norms = _squared_norms(centroids, k).scalar()
@@ -184,12 +184,15 @@ def fit_kmeans(
     """``(id, cluster)`` by Spark ML's K-means, Euclidean.
 
     Rows are laid out by id first because the initial centroids depend on the
-    layout. Fewer distinct rows than ``k`` give fewer clusters.
+    layout. Fewer distinct rows than ``k`` give fewer clusters. The row solver
+    suits sparse rows, and unlike the block solver it copes with fewer clusters.
     """
+    if k == 1:  # Spark ML starts at two
+        return vectors.select(id_col, F.lit(0).alias("cluster"))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid_out = vectors.repartition(parts, id_col).sortWithinPartitions(id_col)
     model = KMeans(
-        k=k, seed=seed, maxIter=max_iter, tol=tol, distanceMeasure="euclidean",
+        k=k, seed=seed, maxIter=max_iter, tol=tol, distanceMeasure="euclidean", solver="row",
         featuresCol=features_col, predictionCol="cluster",
     ).fit(laid_out)
     return model.transform(laid_out).select(id_col, "cluster")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from .keywords import site_keywords
+from ..functions.text import top_keywords
 
 
 def page_fields(pages: DataFrame, *keep: str) -> DataFrame:
@@ -41,13 +41,16 @@ def concat_site(fields: DataFrame, group: str = "seed", order_col: str = "ord")
     """
     ordered = F.sort_array(F.collect_list(F.struct(order_col, "h1", "text", "structured_data")))
     merged = fields.groupBy(group).agg(ordered.alias("_pages"))
-    texts = F.transform("_pages", lambda page: F.coalesce(F.concat(page["text"], F.lit("\n")), F.lit("")))
-    return merged.select(
-        group,
-        F.flatten(F.transform("_pages", lambda page: page["h1"])).alias("h1"),
+    return merged.select(group, *_merged(F.col("_pages")))
+
+
+def _merged(pages: Column) -> list[Column]:
+    texts = F.transform(pages, lambda page: F.coalesce(F.concat(page["text"], F.lit("\n")), F.lit("")))
+    return [
+        F.flatten(F.transform(pages, lambda page: page["h1"])).alias("h1"),
         F.array_join(texts, "").alias("text"),
-        F.flatten(F.transform("_pages", lambda page: page["structured_data"])).alias("structured_data"),
-    )
+        F.flatten(F.transform(pages, lambda page: page["structured_data"])).alias("structured_data"),
+    ]
 
 
 def crawled_fields(walk: DataFrame, pages: DataFrame) -> DataFrame:
@@ -57,18 +60,21 @@ def crawled_fields(walk: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def site_profile(walk: DataFrame, pages: DataFrame, min_len: int = 4, top_n: int = 20) -> DataFrame:
-    """One row per seed: ``title, meta_description, h1, text, structured_data, keywords``."""
+    """One row per seed: ``title, meta_description, h1, text, structured_data, keywords``.
+
+    The pages of a walk meet once, by seed; everything else happens in that row.
+    """
     fields = crawled_fields(walk, pages)
-    per_site = (
-        concat_site(fields)
-        .join(first_nonempty(fields, "title"), "seed")
-        .join(first_nonempty(fields, "meta_description"), "seed")
-    )
-    best = site_keywords(fields, min_chars=min_len, top_n=top_n)
-    keywords = best.groupBy("seed").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda item: item["word"]).alias("keywords")
+    ordered = F.sort_array(
+        F.collect_list(F.struct("ord", "title", "meta_description", "h1", "text", "structured_data"))
     )
-    return per_site.join(keywords, "seed", "left").select(
-        "seed", "title", "meta_description", "h1", "text", "structured_data",
-        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+    merged = fields.groupBy("seed").agg(ordered.alias("_pages"))
+
+    def first_filled(name: str) -> Column:
+        values = F.filter(F.transform("_pages", lambda page: page[name]), lambda value: value != "")
+        return F.coalesce(F.get(values, 0), F.lit("")).alias(name)
+
+    profile = merged.select(
+        "seed", first_filled("title"), first_filled("meta_description"), *_merged(F.col("_pages"))
     )
+    return profile.withColumn("keywords", top_keywords(F.col("text"), min_len, top_n))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, term_counts, terms, unigrams_and_bigrams
-from ..session import cut_lineage, lookup_join
+from ..functions.text import bigrams, bind, term_counts, terms, unigrams_and_bigrams
+from ..session import BROADCAST_ROWS, cut_lineage, is_small, lookup_join
 
 # A term is hot when it holds at least this share of all (document, term) pairs,
 # so there are at most 1 / share hot terms whatever the corpus.
 HOT_SHARE = 0.001
 SALTS = 64
+# Up to this many words are looked up in a literal inside each row.
+LITERAL_TERMS = 20_000
 
 
 def default_stop_words(spark: SparkSession, language: str = "english") -> list[str]:
@@ -68,18 +70,25 @@ def hot_terms(dictionary: DataFrame) -> DataFrame:
     return dictionary.filter(F.col("df") >= HOT_SHARE * total.scalar()).select("term")
 
 
-def salted_term_join(pairs: DataFrame, table: DataFrame, hot: DataFrame, spread: Column) -> DataFrame:
-    """Inner join on ``term`` with the pairs of each hot term spread over ``SALTS`` keys.
+def term_join(
+    pairs: DataFrame, table: DataFrame, hot: DataFrame, spread_by: Column, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Inner join of ``pairs`` with a ``table`` that has one row per ``term``.
 
-    ``table`` has one row per term; only its hot rows are repeated.
+    A table of at most ``max_rows`` rows is broadcast. A larger one is joined by
+    shuffle, with the pairs of each hot term spread over ``SALTS`` keys; only the
+    hot rows of the table are repeated. Its share of a partition is small, so it
+    is hashed there and the pairs are not sorted.
     """
+    if is_small(table, max_rows):
+        return pairs.join(F.broadcast(table), "term")
     flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # bounded by hot_terms
     left = pairs.join(flagged, "term", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0))
     )
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(flagged, "term", "left").withColumn("_salt", F.explode(salts.cast("array<bigint>")))
-    return left.drop("_hot").join(right.drop("_hot"), ["term", "_salt"]).drop("_salt")
+    return left.drop("_hot").join(right.drop("_hot").hint("shuffle_hash"), ["term", "_salt"]).drop("_salt")
 
 
 def l2_normalised(weights: DataFrame, doc_cols: Sequence[str], weight: str = "weight") -> DataFrame:
@@ -89,7 +98,8 @@ def l2_normalised(weights: DataFrame, doc_cols: Sequence[str], weight: str = "we
 
 
 def tfidf(
-    df: DataFrame, id_col: str = "response_id", text_col: str = "response", stop_words: Sequence[str] | None = None
+    df: DataFrame, id_col: str = "response_id", text_col: str = "response", stop_words: Sequence[str] | None = None,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Unigram TF-IDF over all answers: ``(id, term, tf, weight)``, rows of norm 1.
 
@@ -100,7 +110,7 @@ def tfidf(
     dictionary = cut_lineage(doc_frequency(frequencies))
     n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     weighted = dictionary.select("term", idf(n_docs, F.col("df")).alias("_idf"))
-    joined = salted_term_join(frequencies, weighted, hot_terms(dictionary), F.col(id_col))
+    joined = term_join(frequencies, weighted, hot_terms(dictionary), F.col(id_col), max_rows)
     weights = joined.select(id_col, "term", "tf", (F.col("tf") * F.col("_idf")).alias("weight"))
     return l2_normalised(weights, [id_col])
 
@@ -113,44 +123,76 @@ def limit_vocabulary(totals: DataFrame, group_cols: Sequence[str], max_features:
     ).drop("_rank")
 
 
-def _leading_words(df: DataFrame, group: str, tokens: Column, max_features: int) -> DataFrame:
-    """One row per group with its ``max_features`` most frequent words."""
-    totals = (
-        df.select(group, F.explode(tokens).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
-    )
-    leaders = limit_vocabulary(totals, [group], max_features)
-    # at most max_features items per group
-    return leaders.groupBy(group).agg(F.collect_list("term").alias("_leaders"))
+def _any_of(listed: DataFrame, limit: int) -> Callable[[Column], Column] | None:
+    """A test that a term is listed for any group, as a hash set literal; None above ``limit`` rows."""
+    rows = listed.select("term").limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    known = sorted({row["term"] for row in rows})
+    return lambda term: term.isin(known)
 
 
-def group_vocabulary(
-    df: DataFrame, group: str, text_col: str, stop_words: Sequence[str], max_features: int = 100
+def _attach(df: DataFrame, per_group: DataFrame, group: str, small: bool) -> DataFrame:
+    """Join one row per group; ``small`` says that the rows it was made of were counted."""
+    return df.join(F.broadcast(per_group), group) if small else lookup_join(df, per_group, group)
+
+
+def group_candidates(
+    df: DataFrame, group: str, id_col: str, text_col: str, stop_words: Sequence[str], max_features: int = 100,
+    max_literal: int = LITERAL_TERMS,
 ) -> DataFrame:
-    """``(group, term, n, df)``: the most frequent unigrams and bigrams of each group.
+    """``(group, id, counts)``: per answer, the terms that can enter the vocabulary.
+
+    A kept term is at least as frequent as the word of rank ``max_features``, and
+    so is each word in it: with ties counted, both words of a kept bigram are
+    listed. Should ties make the lists too long, they are cut without them. Then
+    only the first word is sure to be listed: it is at least as frequent as its
+    bigram, and where it is equally frequent it sorts before it.
 
-    Most bigrams are rare and never leave their row. If a bigram is among the
-    best ``max_features`` of all terms, its first word is among the best
-    ``max_features`` words: the word is at least as frequent, and where it is
-    equally frequent it sorts before the bigram. So only leading words and the
-    bigrams they start are counted across rows.
+    Most bigrams are rare and never leave their row. What is left is a small part
+    of the text and is read several times, so it is written out once.
     """
     tokens = terms(F.col(text_col), stop_words)
-    leaders = _leading_words(df, group, tokens, max_features)
+    totals = (
+        df.select(group, F.explode(tokens).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    )
+    by_count = Window.partitionBy(group).orderBy(F.desc("n"))
+    tied = totals.withColumn("_rank", F.rank().over(by_count)).filter(F.col("_rank") <= max_features)
+    listed = cut_lineage(tied.select(group, "term", "n"))
+    listed_any = _any_of(listed, max_literal)
+    both = listed_any is not None
+    if not both:
+        listed = limit_vocabulary(listed, [group], max_features)
+    lists = listed.groupBy(group).agg(F.collect_list("term").alias("_words"))
 
     def candidates(sequence: Column) -> Column:
-        def own(token: Column, i: Column) -> Column:
-            pair = F.concat(token, F.lit(" "), F.get(sequence, i + 1))
-            return F.when(F.array_contains(F.col("_leaders"), token), F.array(token, pair))
+        def is_listed(token: Column) -> Column:
+            exact = F.array_contains(F.col("_words"), token)
+            return listed_any(token) & exact if both else exact
 
-        return F.array_compact(F.flatten(F.array_compact(F.transform(sequence, own))))
+        hits = F.transform(sequence, lambda token: F.when(is_listed(token), token))
+        return bind(hits, lambda hit: F.array_compact(F.concat(hit, bigrams(hit, hit if both else sequence))))
 
-    kept = lookup_join(df.select(group, text_col), leaders, group).select(
-        group, F.explode(term_counts(bind(tokens, candidates))).alias("_count")
-    )
-    totals = doc_frequency(kept.select(group, "_count.term", "_count.tf"), [group])
+    joined = _attach(df.select(group, id_col, text_col), lists, group, both)
+    counted = joined.select(group, id_col, term_counts(bind(tokens, candidates)).alias("counts"))
+    return cut_lineage(counted.filter(F.size("counts") > 0))
+
+
+def candidate_vocabulary(candidates: DataFrame, group: str, max_features: int = 100) -> DataFrame:
+    """``(group, term, n, df)``: the most frequent unigrams and bigrams of each group."""
+    rows = candidates.select(group, F.explode("counts").alias("_count"))
+    totals = doc_frequency(rows.select(group, "_count.term", "_count.tf"), [group])
     return limit_vocabulary(totals, [group], max_features)
 
 
+def group_vocabulary(
+    df: DataFrame, group: str, id_col: str, text_col: str, stop_words: Sequence[str], max_features: int = 100
+) -> DataFrame:
+    """``(group, term, n, df)`` of the answers themselves."""
+    candidates = group_candidates(df, group, id_col, text_col, stop_words, max_features)
+    return candidate_vocabulary(candidates, group, max_features)
+
+
 def tfidf_by_group(
     df: DataFrame,
     group: str = "cluster",
@@ -166,31 +208,22 @@ def tfidf_by_group(
     document is weighted and normalised where it was read.
     """
     stop_words = resolve_stop_words(df.sparkSession, stop_words)
+    candidates = group_candidates(df, group, id_col, text_col, stop_words, max_features)
+    vocabulary = cut_lineage(candidate_vocabulary(candidates, group, max_features))
+    in_any = _any_of(vocabulary, LITERAL_TERMS)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_docs"))
-    vocabulary = (
-        group_vocabulary(df, group, text_col, stop_words, max_features)
-        .join(sizes, group)
-        .groupBy(group)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("term", idf(F.col("_docs"), F.col("df"))))).alias("_idf")
-        )
+    maps = vocabulary.join(sizes, group).groupBy(group).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", idf(F.col("_docs"), F.col("df"))))).alias("_idf")
     )
-    tokens = unigrams_and_bigrams(terms(F.col(text_col), stop_words))
-    known = F.filter(tokens, lambda term: F.map_contains_key(F.col("_idf"), term))
-
-    def weighted(counts: Column) -> Column:
-        raw = F.transform(
-            counts,
-            lambda count: F.struct(
-                count["term"].alias("term"),
-                count["tf"].alias("tf"),
-                (count["tf"] * F.element_at(F.col("_idf"), count["term"])).alias("weight"),
-            ),
-        )
-        return bind(raw, _unit_length)
 
-    rows = lookup_join(df.select(group, id_col, text_col), vocabulary, group).select(
-        group, id_col, F.explode(bind(term_counts(known), weighted)).alias("_row")
+    def weighted(count: Column) -> Column:
+        weight = count["tf"] * F.try_element_at(F.col("_idf"), count["term"])
+        return F.struct(count["term"].alias("term"), count["tf"].alias("tf"), weight.alias("weight"))
+
+    listed = F.filter("counts", lambda count: in_any(count["term"])) if in_any else F.col("counts")
+    kept = F.filter(F.transform(listed, weighted), lambda entry: entry["weight"].isNotNull())
+    rows = _attach(candidates, maps, group, in_any is not None).select(
+        group, id_col, F.explode(bind(kept, _unit_length)).alias("_row")
     )
     return rows.select(group, id_col, "_row.term", "_row.tf", "_row.weight")
 

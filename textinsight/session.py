@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Above this many rows a lookup table is shuffled instead of broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
+# Inputs with less than this per core are spread over the cores first.
+SPREAD_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app_name: str = "textinsight", master: str | None = None, **conf) -> SparkSession:
@@ -27,6 +29,22 @@ def build_session(app_name: str = "textinsight", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    A file cannot be split below its row groups, so a small table may come as one
+    task. A table that already has a partition per core is left as it is: no
+    shuffle of a large input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if _scan_bytes(df) > cores * SPREAD_BYTES else df.repartition(cores, key)
+
+
+def _scan_bytes(df: DataFrame) -> int:
+    """Size of the input as Spark's optimizer estimates it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 
@@ -46,10 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table may be broadcast. It is counted, so cut its lineage first."""
+    return df.count() <= max_rows
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup table: broadcast after its row count was checked, else shuffled."""
     right = cut_lineage(right)
-    if right.count() <= max_rows:
+    if is_small(right, max_rows):
         right = F.broadcast(right)
     return left.join(right, on, how)
