@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.urls import netloc, same_host, url_join
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
 
 def html_links(pages: DataFrame) -> DataFrame:
@@ -70,8 +70,7 @@ def crawl_frontier(
     """
     hosts = seeds.select(netloc(F.col("seed")).alias("_host")).distinct()
     table = table.withColumn("_host", netloc(F.col("url"))).join(hosts, "_host", "left_semi").drop("_host")
-    # Laid out by URL once; the checkpoint keeps the layout, so no step shuffles it again.
-    table = cut_lineage(table.repartition("url"))
+    table = cut_lineage(table)
 
     found = seeds.select("seed").distinct().select(
         "seed", F.col("seed").alias("url"), F.lit(0).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("pos")
@@ -81,7 +80,8 @@ def crawl_frontier(
         if walk is not None:
             found = drop_visited(found, walk)
         order = Window.partitionBy("seed").orderBy("parent", "pos")
-        fetched = found.join(table, "url").withColumn("_n", F.row_number().over(order).cast("bigint"))
+        # a frontier that may be broadcast spares the table a shuffle
+        fetched = table.join(small_side(cut_lineage(found)), "url").withColumn("_n", F.row_number().over(order).cast("bigint"))
         fetched = fetched.filter(F.col("_n") <= max_pages)
         before = F.lit(0).cast("bigint")
         if walk is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
 # Characters of answers in one part of a group.
 PART_CHARS = 200_000
@@ -35,7 +35,7 @@ def running_total(df: DataFrame, group: str, order_col: str, value: str, out: st
     offsets = slices.select(group, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(group, "_slice").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(offsets, [group, "_slice"])
+        ranged.join(small_side(cut_lineage(offsets)), [group, "_slice"])
         .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_slice", "_offset")
     )
@@ -45,10 +45,14 @@ def with_parts(
     df: DataFrame, group: str = "cluster", id_col: str = "response_id", text_col: str = "response",
     part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """Number the parts of each group; a new part begins every ``part_chars`` characters."""
-    sized = df.withColumn("_chars", F.length(text_col).cast("bigint"))
-    total = running_total(sized, group, id_col, "_chars", "_total")
-    return total.withColumn("part", F.floor(F.col("_total") / part_chars)).drop("_chars", "_total")
+    """Number the parts of each group; a new part begins every ``part_chars`` characters.
+
+    Positions are worked out on ids and lengths only; the text joins by id.
+    """
+    sizes = df.select(group, id_col, F.length(text_col).cast("bigint").alias("_chars"))
+    total = running_total(sizes, group, id_col, "_chars", "_total")
+    parts = total.select(group, id_col, F.floor(F.col("_total") / part_chars).alias("part"))
+    return df.join(parts, [group, id_col])
 
 
 def group_responses(

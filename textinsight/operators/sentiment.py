@@ -126,8 +126,8 @@ def _polarity_by_join(
         ).alias("pair"),
     ).select(id_col, "pair.word", "pair.before")
     flagged = negators.select(F.col("word").alias("before"), F.lit(True).alias("negated")).distinct()
-    hits = lookup_join(pairs, lexicon.select("word", "polarity"), "word")
-    hits = lookup_join(hits, flagged, "before", "left")
+    hits = lookup_join(pairs, lexicon.select("word", "polarity"), ["word"], id_col)
+    hits = lookup_join(hits, flagged, ["before"], id_col, "left")
     scored = hits.groupBy(id_col).agg(
         F.avg(F.col("polarity") * F.when(F.col("negated"), NEGATED).otherwise(1.0)).alias("mean")
     )

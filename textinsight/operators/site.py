@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import top_keywords
+from ..session import small_side
 
 
 def page_fields(pages: DataFrame, *keep: str) -> DataFrame:
@@ -54,8 +55,12 @@ def _merged(pages: Column) -> list[Column]:
 
 
 def crawled_fields(walk: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page fields of the fetched pages only: ``(seed, ord, ...)``."""
-    fetched = walk.select("seed", "ord", "page_id").join(pages.select("page_id", "html"), "page_id")
+    """Page fields of the fetched pages only: ``(seed, ord, ...)``.
+
+    A walk that may be broadcast spares the pages a shuffle.
+    """
+    walked = small_side(walk.select("seed", "ord", "page_id"))
+    fetched = pages.select("page_id", "html").join(walked, "page_id")
     return page_fields(fetched, "seed", "ord")
 
 

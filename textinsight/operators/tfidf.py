@@ -13,7 +13,7 @@ from ..session import BROADCAST_ROWS, cut_lineage, is_small, lookup_join
 # A term is hot when it holds at least this share of all (document, term) pairs,
 # so there are at most 1 / share hot terms whatever the corpus.
 HOT_SHARE = 0.001
-SALTS = 64
+HOT_SALTS = 64
 # Up to this many words are looked up in a literal inside each row.
 LITERAL_TERMS = 20_000
 
@@ -76,7 +76,7 @@ def term_join(
     """Inner join of ``pairs`` with a ``table`` that has one row per ``term``.
 
     A table of at most ``max_rows`` rows is broadcast. A larger one is joined by
-    shuffle, with the pairs of each hot term spread over ``SALTS`` keys; only the
+    shuffle, with the pairs of each hot term spread over ``HOT_SALTS`` keys; only the
     hot rows of the table are repeated. Its share of a partition is small, so it
     is hashed there and the pairs are not sorted.
     """
@@ -84,9 +84,9 @@ def term_join(
         return pairs.join(F.broadcast(table), "term")
     flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # bounded by hot_terms
     left = pairs.join(flagged, "term", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(HOT_SALTS))).otherwise(F.lit(0))
     )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(flagged, "term", "left").withColumn("_salt", F.explode(salts.cast("array<bigint>")))
     return left.drop("_hot").join(right.drop("_hot").hint("shuffle_hash"), ["term", "_salt"]).drop("_salt")
 
@@ -132,9 +132,11 @@ def _any_of(listed: DataFrame, limit: int) -> Callable[[Column], Column] | None:
     return lambda term: term.isin(known)
 
 
-def _attach(df: DataFrame, per_group: DataFrame, group: str, small: bool) -> DataFrame:
+def _attach(df: DataFrame, per_group: DataFrame, group: str, id_col: str, small: bool) -> DataFrame:
     """Join one row per group; ``small`` says that the rows it was made of were counted."""
-    return df.join(F.broadcast(per_group), group) if small else lookup_join(df, per_group, group)
+    if small:
+        return df.join(F.broadcast(per_group), group)
+    return lookup_join(df, per_group, [group], id_col)
 
 
 def group_candidates(
@@ -173,7 +175,7 @@ def group_candidates(
         hits = F.transform(sequence, lambda token: F.when(is_listed(token), token))
         return bind(hits, lambda hit: F.array_compact(F.concat(hit, bigrams(hit, hit if both else sequence))))
 
-    joined = _attach(df.select(group, id_col, text_col), lists, group, both)
+    joined = _attach(df.select(group, id_col, text_col), lists, group, id_col, both)
     counted = joined.select(group, id_col, term_counts(bind(tokens, candidates)).alias("counts"))
     return cut_lineage(counted.filter(F.size("counts") > 0))
 
@@ -222,7 +224,7 @@ def tfidf_by_group(
 
     listed = F.filter("counts", lambda count: in_any(count["term"])) if in_any else F.col("counts")
     kept = F.filter(F.transform(listed, weighted), lambda entry: entry["weight"].isNotNull())
-    rows = _attach(candidates, maps, group, in_any is not None).select(
+    rows = _attach(candidates, maps, group, id_col, in_any is not None).select(
         group, id_col, F.explode(bind(kept, _unit_length)).alias("_row")
     )
     return rows.select(group, id_col, "_row.term", "_row.tf", "_row.weight")

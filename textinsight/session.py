@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Above this many rows a lookup table is shuffled instead of broadcast.
 BROADCAST_ROWS = 500_000
+# Tasks one key of a shuffled lookup is spread over.
+SALTS = 16
 # Inputs with less than this per core are spread over the cores first.
 SPREAD_BYTES = 64 * 1024 * 1024
 
@@ -69,10 +72,23 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= max_rows
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table: broadcast after its row count was checked, else shuffled."""
-    right = cut_lineage(right)
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if its row count allows it, else as it is."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join a table that has few rows per key, whatever share of ``left`` one key holds.
+
+    ``right`` is broadcast when it has at most ``max_rows`` rows. A larger one is
+    joined by shuffle, each key spread over ``SALTS`` tasks by ``spread_by``.
+    """
+    on, right = list(on), cut_lineage(right)
     if is_small(right, max_rows):
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+        return left.join(F.broadcast(right), on, how)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALTS)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

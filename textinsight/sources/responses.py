@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK, strip
+from ..session import lookup_join
 
 # The cells pandas' CSV reader takes for null by default.
 CSV_NULLS = (
@@ -73,8 +74,8 @@ def lines_until_marker(
 ) -> DataFrame:
     """Per source, the stripped non-blank lines before the first marker line.
 
-    The marker position is a plain aggregate, so one long source is still read
-    by many tasks.
+    The marker position is a plain aggregate and its join spreads each source by
+    line, so one long source is still read by many tasks.
     """
     keys = list(source_cols)
     stripped = df.withColumn(line, strip(F.col(line)))
@@ -83,11 +84,9 @@ def lines_until_marker(
         .groupBy(*keys)
         .agg(F.min(line_no).alias("_stop"))
     )
-    return (
-        stripped.join(stop, keys, "left")
-        .filter((F.col(line) != "") & (F.col("_stop").isNull() | (F.col(line_no) < F.col("_stop"))))
-        .drop("_stop")
-    )
+    before = F.col("_stop").isNull() | (F.col(line_no) < F.col("_stop"))
+    kept = lookup_join(stripped.filter(F.col(line) != ""), stop, keys, line_no, "left")
+    return kept.filter(before).drop("_stop")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
