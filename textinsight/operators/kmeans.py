@@ -14,8 +14,10 @@ from ..functions.text import terms
 from ..session import cut_lineage
 from .tfidf import doc_frequency, hot_terms, resolve_stop_words, term_join, tfidf
 
-# Centroids are dense in the ML pipeline, so it is used up to this vocabulary size.
-ML_VOCABULARY = 200_000
+# The ML pipeline keeps its vocabulary on the driver and dense centroids in every task. It is used
+# up to this many terms and this many numbers in all centroids.
+ML_VOCABULARY = 1_000_000
+ML_CENTROID_CELLS = 10_000_000
 # Scores of a row against two centroids are rounded before they are compared.
 SCORE_DIGITS = 9
 
@@ -159,15 +161,14 @@ def _largest_shift(before: DataFrame, after: DataFrame, k: int) -> float:
 def tfidf_vectors(
     df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str], max_terms: int = ML_VOCABULARY
 ) -> DataFrame | None:
-    """``(id, features)`` with the weights of ``tfidf``; None above ``max_terms`` terms.
+    """``(id, features)`` with the weights of ``tfidf``; None above ``max_terms`` terms
+    or without any.
 
     Spark's IDF is ln((n + 1) / (df + 1)), so one is added to it.
     """
     tokens = df.select(id_col, terms(F.col(text_col), stop_words).alias("tokens"))
-    if tokens.filter(F.size("tokens") > 0).isEmpty():
-        return None
     counter = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=max_terms + 1).fit(tokens)
-    if len(counter.vocabulary) > max_terms:
+    if not 0 < len(counter.vocabulary) <= max_terms:
         return None
     counts = counter.transform(tokens)
     plain = IDF(inputCol="counts", outputCol="unused").fit(counts).idf
@@ -215,7 +216,7 @@ def kmeans_cluster(
     stop_words: Sequence[str] | None = None,
     max_iter: int = 300,
     tol: float = 1e-4,
-    max_terms: int = ML_VOCABULARY,
+    max_terms: int | None = None,
 ) -> DataFrame:
     """The answers with a ``cluster`` column, every answer kept.
 
@@ -223,6 +224,8 @@ def kmeans_cluster(
     one by ``lloyd_kmeans``, which never holds a centroid in one place.
     """
     stop_words = resolve_stop_words(df.sparkSession, stop_words)
+    if max_terms is None:
+        max_terms = min(ML_VOCABULARY, ML_CENTROID_CELLS // k)
     vectors = tfidf_vectors(df, id_col, text_col, stop_words, max_terms)
     if vectors is not None:
         labels = fit_kmeans(vectors, k, seed, max_iter, tol, id_col)
