@@ -9,6 +9,7 @@ from ..functions.text import ascii_clean, bullet_join, cluster_title, keyword_li
 from .keywords import nested_keywords
 
 KEYWORDS = "array<struct<term:string,score:double>>"
+# Fixed value.
 REPORT_TITLE = "Customer Feedback Analysis Report"
 
 
