@@ -11,6 +11,7 @@ from textinsight.operators.completion import complete
 from textinsight.operators.prompts import chat_messages
 from textinsight.operators.report import write_report
 from textinsight.plans.survey import analyze_survey, summarize_clusters
+from textinsight.session import lookup_join
 from textinsight.sources import responses as R
 
 ANSWERS = [
@@ -92,6 +93,17 @@ def test_salting_keeps_every_pair_of_a_hot_term(spark, monkeypatch):
     assert joined.filter("term = 'hot'").select("df").distinct().count() == 1
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_join_paths_agree(spark, how):
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("k7", 3), ("unused", 4)], "key string, v int")
+    small, salted = (
+        sorted((row["id"], row["key"], row["v"] or 0) for row in lookup_join(left, right, ["key"], "id", how, limit).collect())
+        for limit in (10, 0)
+    )
+    assert small == salted and sum(row[2] == 1 for row in small) == 2000
+
+
 def test_ml_vectors_have_the_long_form_weights(spark):
     df = answers(spark)
     stop_words = ["the", "of", "and"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..session import cut_lineage
+from ..session import BROADCAST_ROWS, cut_lineage
 from .tfidf import doc_frequency, hot_terms, resolve_stop_words, term_join, tfidf
 
 # The ML pipeline keeps its vocabulary on the driver and dense centroids in every task. It is used
@@ -47,7 +47,8 @@ def assign_to_centroids(
     centroid of least norm. ``cost`` is the squared distance less the squared
     norm of the document.
     """
-    dots = term_join(pairs, centroids, hot, F.col(id_col)).groupBy(id_col).agg(
+    # a row of the centroid table holds k numbers
+    dots = term_join(pairs, centroids, hot, F.col(id_col), BROADCAST_ROWS // k).groupBy(id_col).agg(
         F.array(*[F.sum(F.col("weight") * F.col("c")[i]) for i in range(k)]).alias("_dots")
     )
     norms = _squared_norms(centroids, k).scalar()
