@@ -13,10 +13,10 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITESPACE, bind, strip
+from .text import WHITESPACE, WHITESPACE_CHARS, bind, strip
 
 # A Unicode noncharacter, so it cannot be page text.
-MARK = "﷐"
+MARK = "\ufdd0"
 # Possessive, so that Java's matcher loops instead of recursing on long tags.
 ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 TAG = rf"</?[A-Za-z]{ATTRIBUTES}>|</?[A-Za-z][^>]*>"
@@ -54,7 +54,7 @@ def _code_point(number: Column) -> Column:
     code = number.try_cast("bigint")
     usable = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, code)), 8, "0")), "UTF-32")
-    return F.coalesce(F.try_element_at(_literal_map(CP1252), number), char, F.lit("�"))
+    return F.coalesce(F.try_element_at(_literal_map(CP1252), number), char, F.lit("\ufffd"))
 
 
 def _meaning(reference: Column) -> Column:
@@ -123,8 +123,8 @@ def _text_nodes(markup: Column, separator: str) -> Column:
     """Text nodes stripped, blank ones dropped, joined by ``separator``."""
     marked = unescape(F.regexp_replace(markup, rf"(?is){TAG}", MARK))
     joined = F.regexp_replace(marked, rf"[{WHITESPACE}]*{MARK}[{WHITESPACE}{MARK}]*", MARK)
-    edges = rf"^[{WHITESPACE}{MARK}]+|[{WHITESPACE}{MARK}]+\z"
-    return F.replace(F.regexp_replace(joined, edges, ""), F.lit(MARK), F.lit(separator))
+    trimmed = F.btrim(joined, F.lit(WHITESPACE_CHARS + MARK))
+    return F.replace(trimmed, F.lit(MARK), F.lit(separator))
 
 
 def links(markup: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Fixed values. White space and line breaks as Python's str.strip and
 # str.splitlines see them, word characters as Python's \w sees them.
 WHITESPACE = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITESPACE_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]"
 NON_ASCII = r"[^\x00-\x7F]+"
@@ -28,7 +29,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space from both ends."""
-    return F.regexp_replace(text, rf"^[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARS))
 
 
 def words(text: Column, min_chars: int = 1) -> Column:
