@@ -65,8 +65,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _balls(bits: list[int], radius: int) -> list[int]:
     """Masks of up to ``radius`` of the given bits, as signed 64-bit numbers."""
-    masks = [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(bits, r)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(sum(1 << b for b in some)) for r in range(radius + 1) for some in combinations(bits, r)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def _longs(values: list[int]) -> F.Column:
@@ -95,7 +98,7 @@ def near_links(
         raise ValueError("distance must be even")
     cuts = [round(64 * i / segments) for i in range(segments + 1)]
     spans = [list(range(cuts[i], cuts[i + 1])) for i in range(segments)]
-    keeps = [_balls([b for b in span], len(span))[-1] for span in spans]
+    keeps = [_signed(sum(1 << b for b in span)) for span in spans]
     keys = F.array(*[
         F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(F.lit(keep).cast("bigint")).alias("v"))
         for s, keep in enumerate(keeps)
