@@ -51,7 +51,7 @@ def block_names(
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANK, " ")
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    blocks = texts.select(F.explode(_blocks(F.col("text"), block_bytes)).alias("block"))
+    blocks = texts.select(F.explode_outer(_blocks(F.col("text"), block_bytes)).alias("block"))
     first, second = locate(F.col("block"))
     names = materialize(
         blocks.distinct().sortWithinPartitions("block")

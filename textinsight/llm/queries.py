@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textinsight.llm import language_id, lm_scoring
+from textinsight.llm.common import id_remainder
 from textinsight.llm.exact_dedup import exact_duplicates
+from textinsight.llm.license_scan import license_scan
 from textinsight.llm.sharding import hilbert_shards
 from textinsight.llm.simhash import near_duplicates
 
@@ -14,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 3) == 1
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~held_out))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.predict_language(rows, model, keep=["doc_id", "held_out"])
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -23,13 +38,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_language_id": op3_language_id,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_context_tree_weighting": op8_context_tree_weighting,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
