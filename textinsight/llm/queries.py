@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from textinsight.llm import language_id, lm_scoring
 from textinsight.llm.common import id_remainder
+from textinsight.llm.decontamination import contaminated
 from textinsight.llm.exact_dedup import exact_duplicates
 from textinsight.llm.license_scan import license_scan
+from textinsight.llm.mixing import mix_sources
 from textinsight.llm.sharding import hilbert_shards
 from textinsight.llm.simhash import near_duplicates
 
@@ -33,6 +35,11 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_place")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,13 +53,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "exact", "place")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_temperature_mixing": op5_temperature_mixing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_context_tree_weighting": op8_context_tree_weighting,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
 SQL = {
