@@ -9,6 +9,7 @@ from textinsight.llm import language_id, lm_scoring
 from textinsight.llm.common import id_remainder
 from textinsight.llm.decontamination import contaminated
 from textinsight.llm.exact_dedup import exact_duplicates
+from textinsight.llm.html_text import extract_pages
 from textinsight.llm.license_scan import license_scan
 from textinsight.llm.mixing import mix_sources
 from textinsight.llm.sharding import hilbert_shards
@@ -23,6 +24,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder("doc_id", 3) == 1
     docs = _table(spark, sf_dir, "documents")
@@ -60,6 +65,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_temperature_mixing": op5_temperature_mixing,
