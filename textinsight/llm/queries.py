@@ -12,6 +12,7 @@ from textinsight.llm.exact_dedup import exact_duplicates
 from textinsight.llm.html_text import extract_pages
 from textinsight.llm.license_scan import license_scan
 from textinsight.llm.mixing import mix_sources
+from textinsight.llm.pii import replace_personal_data
 from textinsight.llm.sharding import hilbert_shards
 from textinsight.llm.simhash import near_duplicates
 
@@ -45,6 +46,10 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_place")
 
 
+def op6_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(_table(spark, sf_dir, "documents"), "surrogates", keep=["doc_id", "text"])
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,6 +74,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_temperature_mixing": op5_temperature_mixing,
+    "op6_surrogate_generation": op6_surrogate_generation,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_context_tree_weighting": op8_context_tree_weighting,
     "op9_exact_dedup": op9_exact_dedup,
