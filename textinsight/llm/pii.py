@@ -24,7 +24,7 @@ ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ",
     "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώ",
 )
-HEX = "0123456789abcdef"
+HEX = ("0123456789", "abcdef")
 # Patterns of the types; where several match at a place the first listed wins.
 EMAIL = r"(?<![\w.%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])"
@@ -138,7 +138,7 @@ def surrogate(kind: Column, found: Column, secret: Column) -> Column:
     name = F.concat_ws(" ", given, _cased(_moved(family, family_key, ALPHABETS), family))
     return (
         F.when(kind == "email", F.concat(_cased(_moved(mail, mail_key, ALPHABETS), mail), top))
-        .when(kind == "secret", _cased(_moved(found, key, (HEX,)), found))
+        .when(kind == "secret", _cased(_moved(found, key, HEX), found))
         .when(kind == "address", address)
         .when(kind == "phone", F.concat(code, _cased(_moved(number, number_key, ALPHABETS), number)))
         .when(kind == "name", name).otherwise(plain)
