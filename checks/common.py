@@ -141,6 +141,8 @@ FROM documents"""
 SITE_PAGES = 20
 MAX_PAGES = 5
 MAX_DEPTH = 2
+# A seed without a page.
+NOWHERE = "http://nowhere.example/p0"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from textinsight.sources import responses as R
 from . import common as C
 
 PART_CHARS = 50_000
+KMEANS_SEED, KMEANS_ROUNDS = 42, 2
 SEED_SQL = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS cluster FROM (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 3)"
 
 
@@ -171,7 +172,7 @@ def lloyd_rounds(spark, sf_dir):
 
 def kmeans_cluster(spark, sf_dir):
     labelled = kmeans.kmeans_cluster(
-        C.documents(spark, sf_dir), 3, id_col="doc_id", text_col="text", stop_words=C.STOP_WORDS
+        C.documents(spark, sf_dir), 3, KMEANS_SEED, "doc_id", "text", C.STOP_WORDS, max_iter=KMEANS_ROUNDS, tol=0.0
     )
     return labelled.select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
 
@@ -209,8 +210,13 @@ def distinct_clusters(spark, sf_dir):
     return grouping.distinct_clusters(C.documents(spark, sf_dir), "lang")
 
 
+def _ungrouped(spark, sf_dir):
+    """Documents of which the Spanish ones have no group."""
+    return C.documents(spark, sf_dir).withColumn("lang", F.nullif("lang", F.lit("es")))
+
+
 def _groups(spark, sf_dir):
-    return grouping.group_responses(C.documents(spark, sf_dir), "lang", "doc_id", "text", PART_CHARS)
+    return grouping.group_responses(_ungrouped(spark, sf_dir), "lang", "doc_id", "text", PART_CHARS)
 
 
 def group_responses(spark, sf_dir):
@@ -300,6 +306,8 @@ def _theme_model():
     def make_client():
         def client(messages, temperature):
             answers = messages[1]["content"].split("\nAnswers:\n", 1)[1]
+            if "Theme of" not in answers and len(answers) % 7 == 3:
+                raise ValueError("no answer")
             return '```json\n{"title": "Theme of %d", "insight": "All of it", "actions": ["Act"]}\n```' % len(answers)
 
         return client
@@ -309,9 +317,9 @@ def _theme_model():
 
 def summarize_clusters_query(spark, sf_dir):
     insights = summarize_clusters(
-        C.documents(spark, sf_dir), C.SURVEY, C.QUESTION, _theme_model(), "lang", "doc_id", "text", PART_CHARS
+        _ungrouped(spark, sf_dir), C.SURVEY, C.QUESTION, _theme_model(), "lang", "doc_id", "text", PART_CHARS
     )
-    return insights.select("lang", "parsed.title", "parsed.insight", F.array_join("parsed.actions", "|").alias("actions"))
+    return insights.select("lang", "parsed.title", "parsed.insight", F.array_join("parsed.actions", "|").alias("actions"), "error")
 
 
 QUERIES = {
@@ -376,15 +384,18 @@ DOC_POLARITY = _polarity_sql("doc_id AS id1, 0 AS id2", "documents")
 TURN_POLARITY = _polarity_sql("conv_id AS id1, turn AS id2", "conversations")
 LABEL = "CASE WHEN {p} > 0.1 THEN 'Positive' WHEN {p} < -0.1 THEN 'Negative' ELSE 'Neutral' END"
 
+# The answers of Spanish documents have no group.
 SQL_PARTS = f"""
-parts AS (SELECT lang, doc_id, text, CAST(floor(
-    (sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - length(text)) / {PART_CHARS}
-  ) AS BIGINT) AS part FROM documents),
-grouped AS (SELECT lang, part, count(*) AS n, list(text ORDER BY doc_id) AS responses FROM parts GROUP BY 1, 2)"""
+pieces AS (SELECT nullif(lang, 'es') AS lang, doc_id, i AS piece, substr(text, i * {PART_CHARS - 3} + 1, {PART_CHARS - 3}) AS text
+  FROM documents, LATERAL (SELECT unnest(range(greatest(1, CAST(ceil(length(text) / {PART_CHARS - 3}.0) AS BIGINT)))) AS i)),
+parts AS (SELECT lang, doc_id, piece, text, CAST(floor(
+    (sum(length(text) + 3) OVER (PARTITION BY lang ORDER BY doc_id, piece ROWS UNBOUNDED PRECEDING) - length(text) - 3) / {PART_CHARS}
+  ) AS BIGINT) AS part FROM pieces),
+grouped AS (SELECT lang, part, count(*) AS n, list(text ORDER BY doc_id, piece) AS responses FROM parts GROUP BY 1, 2)"""
 _task = prompts.CLUSTER_TASK.replace("'", "''")
 SQL_PROMPT = (
     f"'{_task}' || chr(10) || chr(10) || 'Survey: {C.SURVEY}' || chr(10) || 'Question: {C.QUESTION}' || chr(10) || "
-    "'Cluster: ' || lang || chr(10) || 'Answers:' || chr(10) || '- ' || array_to_string(responses, chr(10) || '- ')"
+    "'Cluster: ' || coalesce(lang, 'none') || chr(10) || 'Answers:' || chr(10) || '- ' || array_to_string(responses, chr(10) || '- ')"
 )
 SQL_SEEDS = f"""{C.SQL_TFIDF},
 seeds AS ({SEED_SQL}),
@@ -407,6 +418,30 @@ def _update_sql(labels: str, out: str) -> str:
   FROM x JOIN {labels} USING (doc_id) JOIN {out}_sizes USING (cluster) GROUP BY 1, 2)"""
 
 
+def _draw_sql(step: int) -> str:
+    digest = f"md5('{KMEANS_SEED + step}:' || doc_id)"
+    return f"ln((CAST('0x' || substr({digest}, 1, 13) AS BIGINT) + 1) / {float(1 << 52)!r})"
+
+
+def _seed_sql(step: int) -> str:
+    """The document that wins the race of this step, after the seeds chosen before."""
+    before = " UNION ALL ".join(f"SELECT doc_id, {i} AS cluster FROM seed{i}" for i in range(step))
+    if not step:
+        return f"own AS (SELECT doc_id, sum(weight * weight) AS own FROM x GROUP BY 1),\nseed0 AS (SELECT doc_id FROM own ORDER BY -{_draw_sql(0)}, doc_id LIMIT 1)"
+    return f"""
+old{step} AS ({before}),
+near{step} AS (SELECT d.doc_id, min(round(n.own - 2 * coalesce(dot, 0), 9)) AS cost
+  FROM documents AS d CROSS JOIN (SELECT o.doc_id AS old_id, own FROM old{step} AS o JOIN own USING (doc_id)) AS n
+  LEFT JOIN (SELECT a.doc_id, b.doc_id AS old_id, sum(a.weight * b.weight) AS dot FROM x AS a JOIN x AS b USING (term)
+             WHERE b.doc_id IN (SELECT doc_id FROM old{step}) GROUP BY 1, 2) AS t ON t.doc_id = d.doc_id AND t.old_id = n.old_id GROUP BY 1),
+far{step} AS (SELECT doc_id, cost + coalesce(own, 0) AS far FROM near{step} LEFT JOIN own USING (doc_id)),
+seed{step} AS (SELECT doc_id FROM far{step} WHERE far > 1e-8 ORDER BY -{_draw_sql(step)} / far, doc_id LIMIT 1)"""
+
+
+_SQL_KMEANS = f"""{', '.join(_seed_sql(i) for i in range(3))},
+seeds AS (SELECT doc_id, 0 AS cluster FROM seed0 UNION ALL SELECT doc_id, 1 FROM seed1 UNION ALL SELECT doc_id, 2 FROM seed2),
+c0 AS (SELECT cluster, term, weight AS c FROM x JOIN seeds USING (doc_id)),
+{_assign_sql('c0', 'a0')}, {_update_sql('a0', 'c1')}, {_assign_sql('c1', 'a1')}, {_update_sql('a1', 'c2')}, {_assign_sql('c2', 'a2')}"""
 _size_sql = f"length('{prompts.CLUSTER_ROLE}') + length({SQL_PROMPT})"
 
 SQL = {
@@ -470,10 +505,23 @@ SQL = {
         WITH {SQL_PARTS}, sized AS (SELECT lang, part, {_size_sql} AS size FROM grouped)
         SELECT lang, part, CASE WHEN size % 4 <> 3 THEN size || ' characters at 0.5' END AS reply,
           CASE WHEN size % 4 = 3 THEN 'ValueError: no answer' END AS error FROM sized""",
+    "kmeans_cluster": f"""WITH {C.SQL_TFIDF}, {_SQL_KMEANS},
+        first_ids AS (SELECT cluster, row_number() OVER (ORDER BY min(doc_id)) - 1 AS renamed FROM a2 GROUP BY 1)
+        SELECT doc_id, renamed AS cluster FROM a2 JOIN first_ids USING (cluster)""",
+    # Groups of up to 64 parts: the parts, every eight of them, every eight of those.
     "summarize_clusters": f"""
-        WITH {SQL_PARTS}, one AS (SELECT lang, part, 'Theme of ' || (2 + length(array_to_string(responses, chr(10) || '- '))) AS title FROM grouped),
-        two AS (SELECT lang, count(*) AS parts, any_value(title) AS title,
-                  sum(length(title) + 16) + 3 * count(*) - 1 AS chars FROM one GROUP BY 1)
-        SELECT lang, CASE WHEN parts = 1 THEN title ELSE 'Theme of ' || CAST(chars AS BIGINT) END AS title,
-          'All of it' AS insight, 'Act' AS actions FROM two""",
+        WITH {SQL_PARTS},
+        sized AS (SELECT lang, part, 2 + length(array_to_string(responses, chr(10) || '- ')) AS size FROM grouped),
+        r0 AS (SELECT lang, part, CASE WHEN size % 7 <> 3 THEN 'Theme of ' || size END AS title FROM sized),
+        n0 AS (SELECT lang, count(*) AS parts, count(title) AS good, max(title) AS title FROM r0 GROUP BY 1),
+        r1 AS (SELECT r0.lang, part // 8 AS part, 'Theme of ' || CAST(sum(length(r0.title) + 19) - 1 AS BIGINT) AS title
+               FROM r0 JOIN n0 ON n0.lang IS NOT DISTINCT FROM r0.lang WHERE parts > 1 AND r0.title IS NOT NULL GROUP BY 1, 2),
+        n1 AS (SELECT lang, count(*) AS parts, max(title) AS title, CAST(sum(length(title) + 19) - 1 AS BIGINT) AS size FROM r1 GROUP BY 1)
+        SELECT n0.lang,
+          coalesce(CASE WHEN n1.parts = 1 THEN n1.title WHEN n1.parts > 1 THEN 'Theme of ' || n1.size ELSE n0.title END,
+                   'Cluster ' || coalesce(n0.lang, 'none') || ' - Undefined') AS title,
+          CASE WHEN good > 0 THEN 'All of it' ELSE 'Insight could not be generated.' END AS insight,
+          CASE WHEN good > 0 THEN 'Act' ELSE 'No actions available due to error.' END AS actions,
+          CASE WHEN good < n0.parts THEN (n0.parts - good) || ' failed: ValueError: no answer' END AS error
+        FROM n0 LEFT JOIN n1 ON n1.lang IS NOT DISTINCT FROM n0.lang""",
 }

@@ -41,4 +41,4 @@ def test_sites_job(spark, tmp_path, client_path):
         str(tmp_path / "pairs"))
     main(["sites", "--pages", str(tmp_path / "pages"), "--pairs", str(tmp_path / "pairs"), "--client", client_path,
           "--output", str(tmp_path / "out")])
-    assert spark.read.text(str(tmp_path / "out")).count() == 8
+    assert spark.read.text(str(tmp_path / "out")).count() == 5

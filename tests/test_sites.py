@@ -1,5 +1,5 @@
 import random
-from collections import Counter, deque
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,24 +9,20 @@ from textinsight.operators.report import write_site_report
 from textinsight.plans.sites import compare_sites, profile_sites
 
 
-def queue_walk(seed, links, max_depth, max_pages):
-    """A first-in-first-out walk over ``{url: [targets]}``; a URL without an entry fails."""
+def shortest_paths(seed, links, max_depth):
+    """The first path, as link positions, to each fetched URL of the host; shorter before longer ones."""
     host = seed.split("/")[2]
-    visited, queue, pages = set(), deque([(seed, 0)]), []
-    while queue and len(pages) < max_pages:
-        url, depth = queue.popleft()
-        if url in visited or depth > max_depth:
-            continue
-        visited.add(url)
-        if url not in links:
-            continue
-        pages.append((url, depth))
-        queue.extend((target, depth + 1) for target in links[url] if target.split("/")[2] == host)
-    return pages
+    level, best = {seed: ()}, {}
+    for _ in range(max_depth + 1):
+        best.update(level)
+        steps = [(path + (at,), target) for url, path in level.items() for at, target in enumerate(links.get(url, ()))]
+        new = [(path, t) for path, t in steps if t.split("/")[2] == host and t in links and t not in best]
+        level = {t: min(p for p, u in new if u == t) for _, t in new}
+    return {url: path for url, path in best.items() if url in links}
 
 
 @pytest.mark.parametrize("seed, max_depth, max_pages", [(1, 2, 10), (2, 2, 4), (3, 5, 30), (4, 0, 5), (5, 3, 1)])
-def test_walk_equals_a_queue(spark, seed, max_depth, max_pages):
+def test_walk_follows_the_first_shortest_paths(spark, seed, max_depth, max_pages):
     random.seed(seed)
     urls = [f"http://h{h}.example/{i}" for h in range(4) for i in range(25)]
     links = {
@@ -44,7 +40,10 @@ def test_walk_equals_a_queue(spark, seed, max_depth, max_pages):
     got = {start: [] for start in starts}
     for row in walk.orderBy("seed", "ord").collect():
         got[row["seed"]].append((row["url"], row["depth"]))
-    assert got == {start: queue_walk(start, links, max_depth, max_pages) for start in starts}
+    for start in starts:
+        paths = shortest_paths(start, links, max_depth)
+        order = sorted(paths, key=lambda url: (len(paths[url]), paths[url]))
+        assert got[start] == [(url, len(paths[url])) for url in order[:max_pages]]
 
 
 def test_fragments_ports_and_doubles(spark):
@@ -114,10 +113,28 @@ def test_compare_sites_and_write(spark, tmp_path):
         "pair_id long, seed_a string, seed_b string",
     )
     lines = compare_sites(pairs, pages, model())
-    assert lines.count() == 16
+    assert lines.count() == 10 and lines.filter("error is not null").count() == 0
     write_site_report(lines, str(tmp_path / "out"))
     text = [row["value"] for row in spark.read.text(str(tmp_path / "out")).orderBy(F.input_file_name()).collect()]
-    assert text[0] == "Analysing your site: http://s2.example/" and text[2] == "None 2" and len(text) == 16
+    assert text[:2] == ["a seed: http://s2.example/", "a summary: None 2"] and len(text) == 10
+
+
+def test_no_pair_is_lost(spark):
+    pages = spark.createDataFrame([(0, "http://s0.example/", "<title>T</title><body>x</body>")], "page_id long, url string, html string")
+    pairs = spark.createDataFrame([(1, "http://s0.example/", "http://gone.example/")], "pair_id long, seed_a string, seed_b string")
+    assert [r["line"] for r in compare_sites(pairs, pages, model()).orderBy("seq").collect()] == [
+        "http://s0.example/", "None 2", "http://gone.example/", "None 2", "None 2"]
+
+    def broken():
+        def client(messages, temperature):
+            raise ValueError("down")
+
+        return client
+
+    lines = compare_sites(pairs, pages, lambda: broken()).orderBy("seq").collect()
+    assert [r["error"] for r in lines] == [None, "ValueError: down", None, "ValueError: down", "nothing to send"]
+    profile = profile_sites(spark.createDataFrame([("http://gone.example/",)], "seed string"), pages).collect()
+    assert [(r["title"], r["h1"], r["text"], r["keywords"]) for r in profile] == [("", [], "", [])]
 
 
 def test_first_nonempty_skips_blank_pages(spark):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # make_client() -> client(messages: list[dict], temperature: float | None) -> str
 Client = Callable[[list, float | None], str]
 
+NO_MESSAGES = "nothing to send"
+
 
 def complete(
     df: DataFrame,
@@ -22,8 +25,10 @@ def complete(
     """``df`` without its messages, plus ``reply`` and ``error``.
 
     One client per task. A row that still fails after its retries keeps a null
-    reply and the error text, so the job goes on. A lost executor repeats the
-    calls of its tasks: write the result out before several readers use it.
+    reply and the error text, so the job goes on. A row without messages is not
+    sent; its error is ``NO_MESSAGES``. ``retry_failed`` sends failed rows again.
+    A lost executor repeats the calls of its tasks: write the result out before
+    several readers use it.
     """
     kept = [field for field in df.schema.fields if field.name != messages_col]
     names = [field.name for field in kept]
@@ -35,6 +40,10 @@ def complete(
         for batch in batches:
             replies, errors = [], []
             for messages in batch[messages_col]:
+                if messages is None:
+                    replies.append(None)
+                    errors.append(NO_MESSAGES)
+                    continue
                 plain = [{"role": m["role"], "content": m["content"]} for m in messages]
                 reply, error = None, None
                 for _ in range(retries + 1):
@@ -50,3 +59,11 @@ def complete(
     if parallelism is not None:
         df = df.repartition(parallelism)
     return df.mapInPandas(run, schema)
+
+
+def retry_failed(df: DataFrame, replies: DataFrame, keys: Sequence[str], make_client: Callable[[], Client], **options) -> DataFrame:
+    """``replies`` with its failed rows asked again; ``df`` holds their messages by ``keys``."""
+    failed = replies.filter(F.col("error").isNotNull() & (F.col("error") != NO_MESSAGES))
+    again = complete(df.join(failed.select(*keys), list(keys), "left_semi"), make_client, **options)
+    done = replies.filter(F.col("error").isNull() | (F.col("error") == NO_MESSAGES))
+    return done.unionByName(again)

@@ -1,23 +1,15 @@
-"""K-means over TF-IDF rows: an ML pipeline, and an exact long form for any vocabulary."""
+"""K-means over TF-IDF rows in the long form, which suits any vocabulary."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
 from ..session import BROADCAST_ROWS, cut_lineage
 from .tfidf import doc_frequency, hot_terms, resolve_stop_words, term_join, tfidf
 
-# The ML pipeline keeps its vocabulary on the driver and dense centroids in every task. It is used
-# up to this many terms and this many numbers in all centroids.
-ML_VOCABULARY = 1_000_000
-ML_CENTROID_CELLS = 10_000_000
 # Scores of a row against two centroids are rounded before they are compared.
 SCORE_DIGITS = 9
 
@@ -87,7 +79,7 @@ def _seed_documents(
     """k-means++ seeds by an exponential race, one aggregate row per seed.
 
     A document wins with probability proportional to its squared distance to the
-    seeds chosen so far. The hash of its id stands in for the random draw, so
+    seeds chosen so far. The MD5 of step and id stands in for the random draw, so
     the choice does not depend on the partition layout.
     """
     squared = docs.select(id_col).join(
@@ -95,7 +87,8 @@ def _seed_documents(
     )
     chosen: list[int] = []
     while len(chosen) < k:
-        draw = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + len(chosen))), F.lit(1 << 40)) + 1) / float(1 << 40)
+        digest = F.md5(F.concat(F.lit(f"{seed + len(chosen)}:"), F.col(id_col).cast("string")))
+        draw = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + 1) / float(1 << 52)
         if chosen:
             centroids = centroids_from_documents(pairs, chosen, id_col)
             nearest = assign_to_centroids(pairs, docs, centroids, len(chosen), hot, id_col)
@@ -156,50 +149,6 @@ def _largest_shift(before: DataFrame, after: DataFrame, k: int) -> float:
     return float(both.agg(F.sqrt(F.array_max(F.array(*sums))).alias("shift")).first()["shift"])
 
 
-# --- ML pipeline -----------------------------------------------------------------------------
-
-
-def tfidf_vectors(
-    df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str], max_terms: int = ML_VOCABULARY
-) -> DataFrame | None:
-    """``(id, features)`` with the weights of ``tfidf``; None above ``max_terms`` terms
-    or without any.
-
-    Spark's IDF is ln((n + 1) / (df + 1)), so one is added to it.
-    """
-    tokens = df.select(id_col, terms(F.col(text_col), stop_words).alias("tokens"))
-    counter = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=max_terms + 1).fit(tokens)
-    if not 0 < len(counter.vocabulary) <= max_terms:
-        return None
-    counts = counter.transform(tokens)
-    plain = IDF(inputCol="counts", outputCol="unused").fit(counts).idf
-    smooth = Vectors.dense(plain.toArray() + 1.0)
-    weighted = ElementwiseProduct(scalingVec=smooth, inputCol="counts", outputCol="weighted").transform(counts)
-    unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-    return unit.transform(weighted).select(id_col, "features")
-
-
-def fit_kmeans(
-    vectors: DataFrame, k: int = 3, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-    id_col: str = "response_id", features_col: str = "features",
-) -> DataFrame:
-    """``(id, cluster)`` by Spark ML's K-means, Euclidean.
-
-    Rows are laid out by id first because the initial centroids depend on the
-    layout. Fewer distinct rows than ``k`` give fewer clusters. The row solver
-    suits sparse rows, and unlike the block solver it copes with fewer clusters.
-    """
-    if k == 1:  # Spark ML starts at two
-        return vectors.select(id_col, F.lit(0).alias("cluster"))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = vectors.repartition(parts, id_col).sortWithinPartitions(id_col)
-    model = KMeans(
-        k=k, seed=seed, maxIter=max_iter, tol=tol, distanceMeasure="euclidean", solver="row",
-        featuresCol=features_col, predictionCol="cluster",
-    ).fit(laid_out)
-    return model.transform(laid_out).select(id_col, "cluster")
-
-
 def renumber_clusters(labels: DataFrame, id_col: str = "response_id") -> DataFrame:
     """Number clusters by their smallest member id, so that ids do not depend on the fit."""
     first = labels.groupBy("cluster").agg(F.min(id_col).alias("_first"))
@@ -217,21 +166,14 @@ def kmeans_cluster(
     stop_words: Sequence[str] | None = None,
     max_iter: int = 300,
     tol: float = 1e-4,
-    max_terms: int | None = None,
+    start_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """The answers with a ``cluster`` column, every answer kept.
 
-    A vocabulary of at most ``max_terms`` terms is fitted by Spark ML; a larger
-    one by ``lloyd_kmeans``, which never holds a centroid in one place.
+    ``lloyd_kmeans`` at every size, clusters numbered by their smallest member id. Labels do not
+    depend on the partitions. A null answer has no terms, like an empty one.
     """
     stop_words = resolve_stop_words(df.sparkSession, stop_words)
-    if max_terms is None:
-        max_terms = min(ML_VOCABULARY, ML_CENTROID_CELLS // k)
-    vectors = tfidf_vectors(df, id_col, text_col, stop_words, max_terms)
-    if vectors is not None:
-        labels = fit_kmeans(vectors, k, seed, max_iter, tol, id_col)
-    else:
-        labels = lloyd_kmeans(df, k, seed, max_iter, tol, id_col, text_col, stop_words)
     # the fit is read again below, once to number it and once to join it
-    labels = cut_lineage(labels)
+    labels = cut_lineage(lloyd_kmeans(df, k, seed, max_iter, tol, id_col, text_col, stop_words, start_ids))
     return df.join(renumber_clusters(labels, id_col), id_col)

@@ -9,8 +9,10 @@ from ..functions.text import ascii_clean, bullet_join, cluster_title, keyword_li
 from .keywords import nested_keywords
 
 KEYWORDS = "array<struct<term:string,score:double>>"
-# Fixed value.
+# Fixed values of the report.
 REPORT_TITLE = "Customer Feedback Analysis Report"
+INSIGHT_LABEL = "Insights:"
+ACTIONS_LABEL = "Action Suggestions:"
 
 
 def attach_keywords(insights: DataFrame, keywords: DataFrame, group: str = "cluster") -> DataFrame:
@@ -18,7 +20,8 @@ def attach_keywords(insights: DataFrame, keywords: DataFrame, group: str = "clus
 
     Both sides have one row per cluster.
     """
-    return insights.join(nested_keywords(keywords, group), group, "left").withColumn(
+    nested = nested_keywords(keywords, group).withColumnRenamed(group, "_group")
+    return insights.join(nested, insights[group].eqNullSafe(F.col("_group")), "left").drop("_group").withColumn(
         "keywords", F.coalesce("keywords", F.array().cast(KEYWORDS))
     )
 
@@ -30,8 +33,8 @@ def build_report(insights: DataFrame, keywords: DataFrame, group: str = "cluster
     body are ASCII only; the keyword line is left as it is.
     """
     body = F.concat(
-        F.lit("Insights:\n"), F.col("parsed.insight"),
-        F.lit("\n\nAction Suggestions:\n"), bullet_join(F.col("parsed.actions")),
+        F.lit(f"{INSIGHT_LABEL}\n"), F.col("parsed.insight"),
+        F.lit(f"\n\n{ACTIONS_LABEL}\n"), bullet_join(F.col("parsed.actions")),
     )
     return (
         attach_keywords(insights, keywords, group)
@@ -46,17 +49,19 @@ def build_report(insights: DataFrame, keywords: DataFrame, group: str = "cluster
 
 
 def report_lines(report: DataFrame, survey_name: str, question: str, group: str = "cluster") -> DataFrame:
-    """``(seq, line)``: header and sections as text."""
-    spark = report.sparkSession
-    header = spark.range(1).select(
-        F.lit(-1).cast("bigint").alias("seq"),
+    """``(section, <group>, line)``: the header as section 0, then one section 1 per cluster, as text.
+
+    Sorted by section and group the lines are in order, whatever type the group has.
+    """
+    header = report.sparkSession.range(1).select(
+        F.lit(0).alias("section"),
+        F.lit(None).cast(report.schema[group].dataType).alias(group),
         F.concat_ws(
             "\n", F.lit(REPORT_TITLE), F.lit(f"Survey: {survey_name}"), F.lit(f"Question: {question}"), F.lit("")
         ).alias("line"),
     )
     sections = report.select(
-        F.col(group).cast("bigint").alias("seq"),
-        F.concat_ws("\n", "title", "body", "keyword_line", F.lit("")).alias("line"),
+        F.lit(1).alias("section"), group, F.concat_ws("\n", "title", "body", "keyword_line", F.lit("")).alias("line"),
     )
     return header.unionByName(sections)
 
@@ -64,34 +69,37 @@ def report_lines(report: DataFrame, survey_name: str, question: str, group: str
 def write_report(
     report: DataFrame, path: str, survey_name: str, question: str, fmt: str = "text", group: str = "cluster"
 ) -> None:
-    """One section per cluster, in cluster order. The report has one row per cluster."""
+    """Header and one section per cluster, in order of the group over the files' names."""
     if fmt == "text":
         lines = report_lines(report, survey_name, question, group)
-        lines.coalesce(1).sortWithinPartitions("seq").select("line").write.mode("overwrite").text(path)
+        ordered = lines.repartitionByRange("section", group).sortWithinPartitions("section", group)
+        ordered.select("line").write.mode("overwrite").text(path)
     else:
         named = report.withColumn("survey_name", F.lit(survey_name)).withColumn("question", F.lit(question))
         named.write.mode("overwrite").format(fmt).save(path)
 
 
 def site_report_lines(paired: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """``(pair_id, seq, line)``: banners, both summaries and the comparison of each pair."""
-    joined = paired.join(comparisons.select("pair_id", "comparison"), "pair_id", "left")
-    lines = F.array(
-        F.concat(F.lit("Analysing your site: "), F.col("seed_a")),
-        F.lit("=== Your Site Summary ==="),
-        F.col("summary_a"),
-        F.concat(F.lit("Analysing competitor site: "), F.col("seed_b")),
-        F.lit("=== Competitor Site Summary ==="),
-        F.col("summary_b"),
-        F.lit("=== Head-to-Head Analysis ==="),
-        F.coalesce("comparison", F.lit("")),
-    )
-    return joined.select("pair_id", F.posexplode(lines).alias("seq", "line")).withColumn(
-        "seq", F.col("seq").cast("bigint")
+    """``(pair_id, seq, side, kind, line, error)``: both summaries and the comparison of each pair.
+
+    ``side`` is ``a``, ``b`` or ``both``. What could not be had is an empty line with its ``error``.
+    """
+    compared = comparisons.select("pair_id", "comparison", F.col("error").alias("_error"))
+    joined = paired.join(compared, "pair_id", "left")
+    row = lambda side, kind, line, error: F.struct(
+        F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.coalesce(line, F.lit("")).alias("line"), error.alias("error"))
+    none = F.lit(None).cast("string")
+    rows = F.array(
+        row("a", "seed", F.col("seed_a"), none), row("a", "summary", F.col("summary_a"), F.col("error_a")),
+        row("b", "seed", F.col("seed_b"), none), row("b", "summary", F.col("summary_b"), F.col("error_b")),
+        row("both", "comparison", F.col("comparison"), F.col("_error")),
     )
+    return joined.select("pair_id", F.posexplode(rows).alias("seq", "row")).select(
+        "pair_id", F.col("seq").cast("bigint").alias("seq"), "row.side", "row.kind", "row.line", "row.error")
 
 
 def write_site_report(lines: DataFrame, path: str) -> None:
-    """Text files whose lines are in pair and line order."""
+    """Text files whose lines are in pair and line order, each after its side and kind."""
     ordered = lines.repartitionByRange("pair_id").sortWithinPartitions("pair_id", "seq")
-    ordered.select("line").write.mode("overwrite").text(path)
+    text = F.concat_ws(" ", F.concat("side", F.lit(" "), "kind", F.lit(":")), "line", F.concat(F.lit("("), "error", F.lit(")")))
+    ordered.select(text.alias("value")).write.mode("overwrite").text(path)

@@ -83,3 +83,13 @@ def site_profile(walk: DataFrame, pages: DataFrame, min_len: int = 4, top_n: int
         "seed", first_filled("title"), first_filled("meta_description"), *_merged(F.col("_pages"))
     )
     return profile.withColumn("keywords", top_keywords(F.col("text"), min_len, top_n))
+
+
+def every_seed(seeds: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One profile per distinct seed, an empty one where no page could be fetched."""
+    rows = seeds.select("seed").distinct().join(profiles, "seed", "left")
+    empty = {
+        field.name: F.coalesce(F.col(field.name), F.lit("") if field.dataType.simpleString() == "string" else F.array().cast(field.dataType))
+        for field in profiles.schema.fields if field.name != "seed"
+    }
+    return rows.withColumns(empty)

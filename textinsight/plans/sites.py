@@ -11,33 +11,33 @@ from ..operators.completion import complete
 from ..operators.crawl import crawl_frontier, link_table
 from ..operators.prompts import comparison_messages, pair_sites, site_messages
 from ..operators.report import site_report_lines
-from ..operators.site import site_profile
+from ..operators.site import every_seed, site_profile
 from ..session import cut_lineage
 
 
 def profile_sites(seeds: DataFrame, pages: DataFrame, max_depth: int = 2, max_pages: int = 10) -> DataFrame:
-    """Walk and profile every seed."""
+    """Walk and profile every seed; one that cannot be fetched has an empty profile."""
     walk = cut_lineage(crawl_frontier(seeds, link_table(pages), max_depth, max_pages))
-    return site_profile(walk, pages)
+    return every_seed(seeds, site_profile(walk, pages))
 
 
 def summarize_sites(
     seeds: DataFrame, pages: DataFrame, make_client: Callable, max_depth: int = 2, max_pages: int = 10,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """``(seed, summary)`` of every seed: walk, profile, prompt, completion."""
+    """``(seed, summary, error)`` of every seed: walk, profile, prompt, completion."""
     messages = site_messages(profile_sites(seeds, pages, max_depth, max_pages))
     replies = complete(messages, make_client, parallelism=parallelism)
-    return cut_lineage(replies).select("seed", F.col("reply").alias("summary"))
+    return cut_lineage(replies).select("seed", F.col("reply").alias("summary"), "error")
 
 
 def compare_sites(
     pairs: DataFrame, pages: DataFrame, make_client: Callable, max_depth: int = 2, max_pages: int = 10,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """``(pair_id, seq, line)``: the report of every ``(pair_id, seed_a, seed_b)``."""
+    """``site_report_lines`` of every ``(pair_id, seed_a, seed_b)``; no pair is left out."""
     seeds = pairs.select(F.col("seed_a").alias("seed")).union(pairs.select("seed_b")).distinct()
     paired = pair_sites(pairs, summarize_sites(seeds, pages, make_client, max_depth, max_pages, parallelism))
     replies = complete(comparison_messages(paired), make_client, parallelism=parallelism)
-    comparisons = cut_lineage(replies).select("pair_id", F.col("reply").alias("comparison"))
+    comparisons = cut_lineage(replies).select("pair_id", F.col("reply").alias("comparison"), "error")
     return site_report_lines(paired, comparisons)
