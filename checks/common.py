@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textinsight.session import spread
 from textinsight.functions.text import LINE_BREAK, NON_ASCII, WHITESPACE
+from textinsight.session import shared_folder
+from textinsight.sources.tables import read_table
 
 STOP_WORDS = ["the", "of", "and", "la", "de", "der"]
 LEXICON = {"for": 0.5, "was": -0.6, "it": 0.2, "der": -0.3, "la": 0.4}
@@ -16,12 +19,17 @@ QUESTION = "What could we do better?"
 KEYWORD_TOP = 15
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has written to."""
+    return f"{shared_folder(spark)}/check-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name), key)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

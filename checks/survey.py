@@ -185,10 +185,19 @@ def polarity(spark, sf_dir):
 def polarity_by_join(spark, sf_dir):
     lexicon = spark.createDataFrame(list(C.LEXICON.items()), "word string, polarity double")
     negators = spark.createDataFrame([(word,) for word in C.NEGATORS], "word string")
-    rows = sentiment._polarity_by_join(C.documents(spark, sf_dir), "doc_id", "text", lexicon, negators)
+    rows = sentiment.polarity_from_tables(C.documents(spark, sf_dir), "doc_id", "text", lexicon, negators)
     return rows.select("doc_id", F.round("polarity", 6).alias("polarity"))
 
 
+def polarity_from_tables(spark, sf_dir):
+    """Every word of the lexicon stands in it twice, with polarities that differ."""
+    twice = [(word, score + by) for word, score in C.LEXICON.items() for by in (-0.25, 0.25)]
+    lexicon = spark.createDataFrame(twice, "word string, polarity double")
+    negators = spark.createDataFrame([(word,) for word in C.NEGATORS * 2], "word string")
+    rows = sentiment.polarity_from_tables(C.table(spark, sf_dir, "conversations"), "conv_id", "text", lexicon, negators)
+    return rows.select("conv_id", F.round("polarity", 6).alias("polarity"))
+
+
 def sentiment_label(spark, sf_dir):
     labelled = sentiment.with_sentiment(C.documents(spark, sf_dir), "text", C.LEXICON, C.NEGATORS)
     return labelled.select("doc_id", "sentiment")
@@ -264,16 +273,32 @@ def order_by_cluster(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    """One report section per language; the reply texts come from its first document."""
-    firsts = C.documents(spark, sf_dir).groupBy("lang").agg(F.min("doc_id").alias("cluster"))
-    insights = _parsed(spark, sf_dir).join(firsts, "cluster").select("lang", "parsed")
-    return report.build_report(insights, _keywords(spark, sf_dir), "lang")
+    """One report section per document, with the keywords of its language."""
+    members = C.documents(spark, sf_dir).select(F.col("doc_id").alias("cluster"), "lang")
+    named = members.join(_keywords(spark, sf_dir), "lang").select("cluster", "rank", "term", "score")
+    return report.build_report(_parsed(spark, sf_dir), named, "cluster")
 
 
 def build_report(spark, sf_dir):
     return _report(spark, sf_dir)
 
 
+def write_report(spark, sf_dir):
+    """Written as text and read back."""
+    path = C.new_folder(spark)
+    report.write_report(_report(spark, sf_dir), path, C.SURVEY, C.QUESTION)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def read_responses_csv(spark, sf_dir):
+    """The documents written as quoted CSV files and read as answers."""
+    path = C.new_folder(spark)
+    texts = C.documents(spark, sf_dir).select("doc_id", F.col("text").alias("Response"))
+    options = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    texts.write.options(header=True, **options).csv(path)
+    return R.read_responses_csv(spark, path).select(F.md5("response").alias("digest"))
+
+
 def complete_query(spark, sf_dir):
     groups = cut_lineage(_groups(spark, sf_dir))
     replies = complete(
@@ -349,6 +374,7 @@ QUERIES = {
     "kmeans_cluster": kmeans_cluster,
     "polarity": polarity,
     "polarity_by_join": polarity_by_join,
+    "polarity_from_tables": polarity_from_tables,
     "sentiment_label": sentiment_label,
     "with_sentiment": with_sentiment,
     "apply_text_fn": apply_text_fn,
@@ -364,6 +390,8 @@ QUERIES = {
     "build_report": build_report,
     "complete": complete_query,
     "summarize_clusters": summarize_clusters_query,
+    "write_report": write_report,
+    "read_responses_csv": read_responses_csv,
 }
 
 PADDED = "' ' || chr(160) || chr(9) || text || chr(10) || chr(8232) || ' '"
@@ -478,6 +506,7 @@ SQL = {
         {_assign_sql('c1', 'a1')}, {_update_sql('a1', 'c2')}, {_assign_sql('c2', 'a2')} SELECT doc_id, cluster FROM a2""",
     "polarity": f"SELECT d.doc_id, round(coalesce(polarity, 0.0), 6) AS polarity FROM documents AS d LEFT JOIN ({DOC_POLARITY}) AS s ON s.id1 = d.doc_id",
     "polarity_by_join": f"SELECT d.doc_id, round(coalesce(polarity, 0.0), 6) AS polarity FROM documents AS d LEFT JOIN ({DOC_POLARITY}) AS s ON s.id1 = d.doc_id",
+    "polarity_from_tables": f"SELECT d.conv_id, round(coalesce(polarity, 0.0), 6) AS polarity FROM conversations AS d LEFT JOIN ({TURN_POLARITY}) AS s ON s.id1 = d.conv_id AND s.id2 = d.turn",
     "sentiment_label": f"SELECT d.doc_id, {LABEL.format(p='coalesce(polarity, 0.0)')} AS sentiment FROM documents AS d LEFT JOIN ({DOC_POLARITY}) AS s ON s.id1 = d.doc_id",
     "with_sentiment": f"SELECT d.conv_id, d.turn, {LABEL.format(p='coalesce(polarity, 0.0)')} AS sentiment FROM conversations AS d LEFT JOIN ({TURN_POLARITY}) AS s ON s.id1 = d.conv_id AND s.id2 = d.turn",
     "apply_text_fn": f"SELECT doc_id, array_to_string(list_reverse(string_split(lower({C.sql_strip('text')}), '')), '') AS reversed FROM documents",
@@ -496,11 +525,12 @@ SQL = {
     "bullet_join": f"SELECT cluster, '- ' || array_to_string(actions, chr(10) || '- ') AS actions FROM ({C.SQL_PARSED})",
     "order_by_cluster": f"SELECT cluster, title FROM ({C.SQL_PARSED}) ORDER BY cluster",
     "build_report": f"""
-        WITH {C.SQL_KEYWORDS}, firsts AS (SELECT lang, min(doc_id) AS cluster FROM documents GROUP BY 1)
-        SELECT lang, {C.sql_ascii_clean("'Cluster ' || lang || ' - ' || any_value(title)")} AS title,
-          {C.sql_ascii_clean("'Insights:' || chr(10) || any_value(insight) || chr(10) || chr(10) || 'Action Suggestions:' || chr(10) || '- ' || array_to_string(any_value(actions), chr(10) || '- ')")} AS body,
-          'Top Keywords: ' || string_agg(term, ', ' ORDER BY rank) AS keyword_line
-        FROM firsts JOIN ({C.SQL_PARSED}) USING (cluster) JOIN kw USING (lang) GROUP BY lang""",
+        WITH {C.SQL_KEYWORDS}, lines AS (SELECT lang, 'Top Keywords: ' || string_agg(term, ', ' ORDER BY rank) AS keyword_line FROM kw GROUP BY 1)
+        SELECT cluster, {C.sql_ascii_clean("'Cluster ' || cluster || ' - ' || title")} AS title,
+          {C.sql_ascii_clean("'Insights:' || chr(10) || insight || chr(10) || chr(10) || 'Action Suggestions:' || chr(10) || '- ' || array_to_string(actions, chr(10) || '- ')")} AS body,
+          keyword_line
+        FROM ({C.SQL_PARSED}) JOIN documents ON doc_id = cluster JOIN lines USING (lang)""",
+    "read_responses_csv": "SELECT md5(text) AS digest FROM documents",
     "complete": f"""
         WITH {SQL_PARTS}, sized AS (SELECT lang, part, {_size_sql} AS size FROM grouped)
         SELECT lang, part, CASE WHEN size % 4 <> 3 THEN size || ' characters at 0.5' END AS reply,
@@ -525,3 +555,6 @@ SQL = {
           CASE WHEN good < n0.parts THEN (n0.parts - good) || ' failed: ValueError: no answer' END AS error
         FROM n0 LEFT JOIN n1 ON n1.lang IS NOT DISTINCT FROM n0.lang""",
 }
+SQL["write_report"] = f"""
+    SELECT unnest(['Customer Feedback Analysis Report', 'Survey: {C.SURVEY}', 'Question: {C.QUESTION}', '']) AS line
+    UNION ALL SELECT unnest(string_split(title || chr(10) || body || chr(10) || keyword_line || chr(10), chr(10))) FROM ({SQL["build_report"]})"""

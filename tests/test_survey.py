@@ -157,7 +157,7 @@ def test_polarity(spark):
     assert [round(row["p"], 6) for row in got[:-1]] == [round(value, 6) for value in want]
     tables = (spark.createDataFrame(list(lexicon.items()), "word string, polarity double"),
               spark.createDataFrame([(word,) for word in negators], "word string"))
-    for path in (sentiment.polarity_from_tables, sentiment._polarity_by_join):
+    for path in (sentiment.polarity_from_tables,):
         rows = {row["response_id"]: row["polarity"] for row in path(df, "response_id", "response", *tables).collect()}
         assert [round(rows[i], 6) for i in range(7)] == [round(value, 6) for value in want]
 

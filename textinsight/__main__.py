@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .operators.report import write_report, write_site_report
 from .plans.sites import compare_sites
 from .plans.survey import analyze_survey
-from .session import build_session
+from .session import build_session, cut_lineage
 from .sources.pages import read_pages
-from .sources.responses import lines_until_marker, read_lines, read_responses, read_responses_csv
+from .sources.responses import lines_until_marker, read_lines, read_responses, read_responses_csv, strip_nonblank
 
 
 def _client(path: str):
@@ -28,9 +28,10 @@ def _answers(spark, args):
         return read_responses_csv(spark, args.input, args.text_column)
     if args.format == "parquet":
         return read_responses(spark, args.input, args.id_column, args.text_column)
-    # ids are given in file and line order, before the marker join can reorder rows
-    numbered = read_lines(spark, args.input).withColumn("response_id", F.monotonically_increasing_id())
-    lines = lines_until_marker(numbered, ["file"])
+    # ids are given once and written out, before the marker join can reorder rows
+    lines = read_lines(spark, args.input).repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
+    numbered = cut_lineage(lines.withColumn("response_id", F.monotonically_increasing_id()))
+    lines = strip_nonblank(numbered, "line") if args.format == "pasted" else lines_until_marker(numbered, ["file"])
     return lines.select("response_id", F.col("line").alias("response"))
 
 
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> None:
 
     one = jobs.add_parser("survey", help="cluster answers and report on each cluster")
     one.add_argument("--input", required=True)
-    one.add_argument("--format", choices=["csv", "parquet", "lines"], default="csv")
+    one.add_argument("--format", choices=["csv", "parquet", "lines", "pasted"], default="csv")
     one.add_argument("--id-column", default="response_id")
     one.add_argument("--text-column", default="Response")
     one.add_argument("--name", required=True)

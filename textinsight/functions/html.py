@@ -217,18 +217,16 @@ def json_ld(html: Column) -> Column:
 
 
 def valid_json(documents: Column) -> Column:
-    """Keep the documents that parse, as canonical JSON text.
+    """Keep the documents that parse, as compact JSON text, keys in their order and repeated ones kept.
 
-    A document is parsed as the only element of an array, which rejects
-    trailing text after a valid value.
+    A document is parsed as the only element of an array and as the only field of an object: text
+    after a valid value may close one of them, never both. NaN and infinities pass.
     """
-    parsed = F.transform(
-        documents,
-        lambda text: F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))),
-    )
-    single = F.filter(
-        parsed,
-        lambda value: F.try_variant_get(value, "$[0]", "variant").isNotNull()
-        & F.try_variant_get(value, "$[1]", "variant").isNull(),
-    )
-    return F.transform(single, lambda value: F.to_json(F.try_variant_get(value, "$[0]", "variant")))
+    options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
+
+    def parsed(text: Column) -> Column:
+        element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", options)
+        field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string", options)
+        return F.when((F.size(element) == 1) & field["v"].isNotNull(), F.get(element, 0))
+
+    return F.array_compact(F.transform(documents, parsed))

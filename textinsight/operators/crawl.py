@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.urls import netloc, same_host, url_join
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, is_small, small_side
 
 
 def html_links(pages: DataFrame) -> DataFrame:
@@ -17,24 +17,35 @@ def html_links(pages: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def local_links(url: Column, markup: Column) -> Column:
+    """Targets of a page on its own host, each at its first position only."""
+    targets = F.transform(H.links(markup), lambda href: url_join(url, href))
+    return F.array_distinct(F.filter(targets, lambda target: same_host(target, url)))
+
+
+def pages_of_hosts(pages: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The pages on a host of a seed, where the hosts are few enough to broadcast; else all pages.
+
+    Either way no page moves. A walk drops the other hosts from the compact link table later.
+    """
+    hosts = cut_lineage(seeds.select(netloc(F.col("seed")).alias("_host")).distinct())
+    if not is_small(hosts):
+        return pages
+    return pages.withColumn("_host", netloc(F.col("url"))).join(F.broadcast(hosts), "_host", "left_semi").drop("_host")
+
+
 def link_table(pages: DataFrame) -> DataFrame:
     """``(url, page_id, links)``: the same-host targets of each fetched page.
 
     A walk never leaves the host of its seed, so links to other hosts are dropped
-    here, and each target keeps its first position only. Of several pages with
-    one URL the lowest ``page_id`` counts.
+    here. Of several pages with one URL the lowest ``page_id`` counts. ``pages``
+    has ``html``, or its ``links`` already.
     """
-    markup = pages.select("page_id", "url", H.visible_markup(F.col("html")).alias("_markup"))
-    targets = markup.select(
-        "page_id",
-        "url",
-        F.transform(H.links(F.col("_markup")), lambda href: url_join(F.col("url"), href)).alias("_targets"),
-    )
-    local = targets.select(
-        "page_id",
-        "url",
-        F.array_distinct(F.filter("_targets", lambda target: same_host(target, F.col("url")))).alias("links"),
-    )
+    if "links" in pages.columns:
+        local = pages.select("page_id", "url", "links")
+    else:
+        markup = pages.select("page_id", "url", H.visible_markup(F.col("html")).alias("_markup"))
+        local = markup.select("page_id", "url", local_links(F.col("url"), F.col("_markup")).alias("links"))
     return local.groupBy("url").agg(
         F.min("page_id").alias("page_id"), F.min_by("links", "page_id").alias("links")
     )

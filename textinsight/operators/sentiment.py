@@ -17,8 +17,6 @@ NEGATIVE_BELOW = -0.1
 NEGATED = -0.5
 # Polarity is rounded so that the order of a sum cannot flip a label.
 POLARITY_DIGITS = 9
-# Up to this many words a lexicon is used as a literal inside each row.
-LITERAL_WORDS = 20_000
 
 DEFAULT_NEGATORS = ("no", "not", "never", "without", "hardly")
 DEFAULT_LEXICON = {
@@ -98,42 +96,27 @@ def polarity_from_tables(
 ) -> DataFrame:
     """``(id, polarity)`` with the lexicon ``(word, polarity)`` and negators ``(word)`` as tables.
 
-    A lexicon of at most ``LITERAL_WORDS`` rows becomes a literal; a larger one is
-    joined word by word.
+    Words are looked up by join, whatever the size of the tables. A word that is in the lexicon
+    several times has the mean of its polarities. Rows of equal id stay rows of their own.
     """
-    few_words = lexicon.select("word", "polarity").limit(LITERAL_WORDS + 1).collect()
-    few_negators = negators.select("word").limit(LITERAL_WORDS + 1).collect()
-    if max(len(few_words), len(few_negators)) <= LITERAL_WORDS:
-        table = {row["word"]: row["polarity"] for row in few_words}
-        return df.select(
-            id_col, polarity(F.col(text_col), table, [row["word"] for row in few_negators]).alias("polarity")
-        )
-    return _polarity_by_join(df, id_col, text_col, lexicon, negators)
-
-
-def _polarity_by_join(
-    df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, negators: DataFrame
-) -> DataFrame:
     pairs = df.select(
         id_col,
-        F.explode(
-            bind(
-                words(F.col(text_col)),
-                lambda tokens: F.transform(
-                    tokens, lambda token, i: F.struct(token.alias("word"), F.get(tokens, i - 1).alias("before"))
-                ),
-            )
-        ).alias("pair"),
-    ).select(id_col, "pair.word", "pair.before")
+        F.monotonically_increasing_id().alias("_row"),
+        bind(
+            words(F.col(text_col)),
+            lambda tokens: F.transform(
+                tokens, lambda token, i: F.struct(token.alias("word"), F.get(tokens, i - 1).alias("before"))
+            ),
+        ).alias("_pairs"),
+    ).select(id_col, "_row", F.explode_outer("_pairs").alias("pair")).select(id_col, "_row", "pair.word", "pair.before")
+    scores = lexicon.groupBy("word").agg(F.avg("polarity").alias("polarity"))
     flagged = negators.select(F.col("word").alias("before"), F.lit(True).alias("negated")).distinct()
-    hits = lookup_join(pairs, lexicon.select("word", "polarity"), ["word"], id_col)
-    hits = lookup_join(hits, flagged, ["before"], id_col, "left")
-    scored = hits.groupBy(id_col).agg(
-        F.avg(F.col("polarity") * F.when(F.col("negated"), NEGATED).otherwise(1.0)).alias("mean")
-    )
-    return df.select(id_col).join(scored, id_col, "left").select(
-        id_col, F.round(F.coalesce("mean", F.lit(0.0)), POLARITY_DIGITS).alias("polarity")
-    )
+    hits = lookup_join(pairs, scores, ["word"], "_row", "left")
+    hits = lookup_join(hits, flagged, ["before"], "_row", "left")
+    mean = F.avg(F.col("polarity") * F.when(F.col("negated"), NEGATED).otherwise(1.0))
+    return hits.groupBy("_row", id_col).agg(
+        F.round(F.coalesce(mean, F.lit(0.0)), POLARITY_DIGITS).alias("polarity")
+    ).drop("_row")
 
 
 def apply_text_fn(

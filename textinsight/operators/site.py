@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import top_keywords
-from ..session import small_side
+from ..session import cut_lineage, is_small
+from .crawl import local_links
 
 
-def page_fields(pages: DataFrame, *keep: str) -> DataFrame:
-    """``title, meta_description, h1, text, structured_data`` of each page.
+def page_fields(pages: DataFrame, *keep: str, with_links: bool = False) -> DataFrame:
+    """``title, meta_description, h1, text, structured_data`` of each page, and its ``links`` if asked for.
 
     ``text`` is null for a page without a body.
     """
-    marked = pages.select(*keep, "html", H.visible_markup(F.col("html")).alias("_markup"))
+    source = ["html", "url"] if with_links and "url" not in keep else ["html"]
+    marked = pages.select(*keep, *source, H.visible_markup(F.col("html")).alias("_markup"))
     markup = F.col("_markup")
     return marked.select(
         *keep,
+        *([local_links(F.col("url"), markup).alias("links")] if with_links else []),
         H.title(markup).alias("title"),
         H.meta_description(markup).alias("meta_description"),
         H.h1_texts(markup).alias("h1"),
@@ -57,11 +60,15 @@ def _merged(pages: Column) -> list[Column]:
 def crawled_fields(walk: DataFrame, pages: DataFrame) -> DataFrame:
     """Page fields of the fetched pages only: ``(seed, ord, ...)``.
 
-    A walk that may be broadcast spares the pages a shuffle.
+    ``pages`` has ``html``, or the fields already. A walk that may be broadcast spares the pages a
+    shuffle; else the fields are worked out first, so that html never moves.
     """
-    walked = small_side(walk.select("seed", "ord", "page_id"))
-    fetched = pages.select("page_id", "html").join(walked, "page_id")
-    return page_fields(fetched, "seed", "ord")
+    walked = cut_lineage(walk.select("seed", "ord", "page_id"))
+    small = is_small(walked)
+    if "html" in pages.columns and small:
+        return page_fields(pages.select("page_id", "html").join(F.broadcast(walked), "page_id"), "seed", "ord")
+    fields = pages.drop("url", "links") if "html" not in pages.columns else page_fields(pages, "page_id")
+    return fields.join(F.broadcast(walked) if small else walked, "page_id").drop("page_id")
 
 
 def site_profile(walk: DataFrame, pages: DataFrame, min_len: int = 4, top_n: int = 20) -> DataFrame:

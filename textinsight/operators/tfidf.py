@@ -26,19 +26,10 @@ def default_stop_words(spark: SparkSession, language: str = "english") -> list[s
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def library_stop_words() -> list[str] | None:
-    """scikit-learn's English list where that library is installed, else None."""
-    try:
-        from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
-    except ImportError:
-        return None
-    return sorted(ENGLISH_STOP_WORDS)
-
-
 def resolve_stop_words(spark: SparkSession, stop_words: Sequence[str] | None) -> list[str]:
     if stop_words is not None:
         return list(stop_words)
-    return library_stop_words() or default_stop_words(spark)
+    return default_stop_words(spark)
 
 
 def term_frequencies(

@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.completion import complete
-from ..operators.crawl import crawl_frontier, link_table
+from ..operators.crawl import crawl_frontier, link_table, pages_of_hosts
 from ..operators.prompts import comparison_messages, pair_sites, site_messages
 from ..operators.report import site_report_lines
-from ..operators.site import every_seed, site_profile
+from ..operators.site import every_seed, page_fields, site_profile
 from ..session import cut_lineage
 
 
 def profile_sites(seeds: DataFrame, pages: DataFrame, max_depth: int = 2, max_pages: int = 10) -> DataFrame:
     """Walk and profile every seed; one that cannot be fetched has an empty profile."""
-    walk = cut_lineage(crawl_frontier(seeds, link_table(pages), max_depth, max_pages))
-    return every_seed(seeds, site_profile(walk, pages))
+    # one pass over the pages: what is read more than once has no html
+    parsed = cut_lineage(page_fields(pages_of_hosts(pages, seeds), "page_id", "url", with_links=True))
+    walk = crawl_frontier(seeds, link_table(parsed), max_depth, max_pages)
+    return every_seed(seeds, site_profile(walk, parsed))
 
 
 def summarize_sites(

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK, strip
-from ..session import lookup_join
+from ..operators.grouping import running_total
+from ..session import cut_lineage, lookup_join
+from .tables import read_table
 
 # The cells pandas' CSV reader takes for null by default.
 CSV_NULLS = (
@@ -22,7 +24,7 @@ CSV_NULLS = (
 
 def read_responses(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:
     """Answers of a parquet table, one per row."""
-    return spark.read.parquet(path).select(
+    return read_table(spark, path, id_col).select(
         F.col(id_col).alias("response_id"), F.col(text_col).alias("response")
     )
 
@@ -37,15 +39,18 @@ def strip_nonblank(df: DataFrame, text_col: str = "response") -> DataFrame:
 
 
 def read_responses_csv(
-    spark: SparkSession, path: str, column: str = "Response", nulls: Sequence[str] = CSV_NULLS
+    spark: SparkSession, path: str, column: str = "Response", nulls: Sequence[str] = CSV_NULLS,
+    quoted_lines: bool = True,
 ) -> DataFrame:
     """The answer column of CSV files with a header; null cells are dropped.
 
-    ``response_id`` grows in file order but has gaps between partitions.
+    ``response_id`` grows in file order but has gaps between partitions; the numbered answers are
+    written out once, so that every reader sees the same ids. Files without line breaks inside
+    quotes can be read in splits: say so with ``quoted_lines=False``.
     """
     rows = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", quoted_lines)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
@@ -54,7 +59,7 @@ def read_responses_csv(
         F.monotonically_increasing_id().alias("response_id"),
         F.when(~F.col(column).isin(list(nulls)), F.col(column)).alias("response"),
     )
-    return drop_null_responses(answers)
+    return cut_lineage(drop_null_responses(answers))
 
 
 def split_responses(df: DataFrame, id_cols: Sequence[str], text_col: str = "text") -> DataFrame:
@@ -90,10 +95,14 @@ def lines_until_marker(
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as ``(file, line_no, line)``, ready for ``lines_until_marker``."""
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
-    )
-    return whole.select("file", F.posexplode(F.split("value", LINE_BREAK)).alias("line_no", "line")).withColumn(
-        "line_no", F.col("line_no").cast("bigint")
+    """Text files as ``(file, line_no, line)``, ready for ``lines_until_marker``.
+
+    Files are read in splits and numbered by split and place in the split, so no task holds a file.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), "value",
     )
+    pieces = rows.select("file", "_block", "_at", F.posexplode(F.split("value", LINE_BREAK)).alias("_pos", "line"))
+    numbered = running_total(cut_lineage(pieces.withColumn("_one", F.lit(1))), "file", ["_block", "_at", "_pos"], "_one", "line_no")
+    return numbered.select("file", F.col("line_no").cast("bigint").alias("line_no"), "line")
