@@ -30,13 +30,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     for at in range(int(offsets[0]), int(offsets[-1]), CHUNK):
         to = min(at + CHUNK, int(offsets[-1]))
         low = max(at - ORDER, 0)
-        part = data[low:to].astype(np.uint64)
+        part = np.concatenate([np.zeros(ORDER - (at - low), np.uint64), data[low:to].astype(np.uint64)])
         keys = np.zeros(to - at, np.uint64)
         for back in range(ORDER, -1, -1):
-            piece = np.zeros(to - at, np.uint64)
-            first = at - low - back  # negative only at the start of the buffer, which is padding
-            piece[max(0, -first) :] = part[max(0, first) : to - low - back]
-            keys = (keys << np.uint64(8)) | piece
+            keys = (keys << np.uint64(8)) | part[ORDER - back : len(part) - back]
         first, last = np.searchsorted(offsets, [at, to - 1], "right") - 1
         begin = np.maximum(offsets[first : last + 1] + ORDER, at) - at
         end = np.minimum(offsets[first + 1 : last + 2], to) - at
