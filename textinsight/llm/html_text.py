@@ -26,15 +26,18 @@ BLOCKS = frozenset(
     "blockquote pre figure address details summary center hr fieldset hgroup".split()) | DROPPED
 # Class, id or role words of what is not the article.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|combx|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|"
-    r"modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|reply|share|sharing|shoutbox|sidebar|"
-    r"signup|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widget|alert|navigation|complementary|contentinfo|search)(?:$|[\s_-])")
+    r"(?:^|(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)[\s_-])(?:ads?|adslots?|adsbygoogle|advert\w*|banner|breadcrumbs?|combx|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|"
+    r"modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|reply|share|sharing|shoutbox|sidebars?|"
+    r"signup|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widgets?|alert|navigation|complementary|contentinfo|search)(?:$|[\s_-])")
+# Words of what is; they weigh points up but do not outdo the above.
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog)(?:$|[\s_-])")
 # Start tags that end an open paragraph, and list items and cells that end their like.
 ENDS_P = BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "dt", "dd", "caption"}
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"),
         "option": ("option",)}
 SCORED = frozenset(("p", "pre", "td", "blockquote", "li", "dd"))
+# Containers that are a menu where nearly all their text is links.
+LISTS = frozenset("ul ol dl div section table tr td".split())
 LEAST = 25  # characters of a paragraph that passes points
 _COMMAS = re.compile("[,،、，;；]")
 
@@ -42,13 +45,12 @@ _COMMAS = re.compile("[,،、，;；]")
 class Node:
     """An element: its children are elements and pieces of text, in page order."""
 
-    __slots__ = ("name", "parent", "children", "hint", "points", "own", "linked", "size", "dropped")
+    __slots__ = ("name", "parent", "children", "hint", "points", "linked", "size", "dropped")
 
     def __init__(self, name: str, parent: Node | None, hint: str) -> None:
         self.name, self.parent, self.hint, self.children = name, parent, hint, []
         self.points, self.size, self.linked = 0.0, 0, 0
-        self.dropped = name in DROPPED or (
-            name not in ("html", "body", "article", "main") and bool(UNLIKELY.search(hint)) and not LIKELY.search(hint))
+        self.dropped = name in DROPPED or (name not in ("html", "body", "article", "main") and bool(UNLIKELY.search(hint)))
 
 
 def _hint(attributes: str) -> str:
@@ -58,8 +60,11 @@ def _hint(attributes: str) -> str:
     return re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(words)).lower()
 
 
-def parse(page: str) -> Node:
-    """Tree of a page. A tag without its end ends with its parent; an end without its tag is skipped."""
+def parse(page: str, hints: bool = True) -> Node:
+    """Tree of a page. A tag without its end ends with its parent; an end without its tag is skipped.
+
+    Without ``hints`` classes, ids and roles are not looked at.
+    """
     root = at = Node("html", None, "")
     position = 0
     while match := _PIECE.match(page, position):
@@ -91,7 +96,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.name in ENDS[name]:
                 at = node.parent
-        node = Node(name, at, _hint(match.group(3) or match.group(6) or ""))
+        node = Node(name, at, _hint(match.group(3) or match.group(6) or "") if hints else "")
         at.children.append(node)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(page, position)
@@ -150,22 +155,34 @@ def _pieces(node: Node) -> Iterator[str]:
             yield "\0"
         elif x.name == "br":
             yield " "
-        elif not x.dropped:
+        elif not x.dropped and not (x.name in LISTS and x.linked > 0.8 * x.size):
             block = x.name in BLOCKS
             stack += [None] * block + x.children[::-1] + [None] * block
 
 
 def main_text(page: str) -> str:
-    """The article of a page: blocks joined by line feeds, white space in a block one space."""
-    root = parse(page.replace("\0", ""))
+    """The article of a page: blocks joined by line feeds, white space in a block one space.
+
+    Where classes and ids leave no text at all, they are not looked at.
+    """
+    page = page.replace("\0", "")
+    return _article(parse(page)) or _article(parse(page, hints=False))
+
+
+def _article(root: Node) -> str:
     scored = _score(root)
     if scored:
         best = max(scored, key=lambda n: n.points)
+        # The container may be a part of an element that says it is the article.
+        marked = best
+        while marked is not None and marked.name not in ("article", "main"):
+            marked = marked.parent
+        best = best if marked is None else marked
         # Siblings with a fair share of the points belong to the article, and so do headings and
         # paragraphs of some length beside the best container.
         chosen = [best]
         if best.parent is not None and best.name not in ("article", "main", "body"):
-            limit = max(10, 0.2 * best.points)
+            limit = 0.2 * best.points
             chosen = [
                 x for x in best.parent.children if isinstance(x, Node) and not x.dropped and (
                     x is best or x.points >= limit or (x.name == "p" and x.size >= 80 and x.linked < 0.25 * x.size)
