@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +14,6 @@ from ..session import BROADCAST_ROWS, cut_lineage, is_small, lookup_join
 # so there are at most 1 / share hot terms whatever the corpus.
 HOT_SHARE = 0.001
 HOT_SALTS = 64
-# Up to this many words are looked up in a literal inside each row.
-LITERAL_TERMS = 20_000
 
 
 def default_stop_words(spark: SparkSession, language: str = "english") -> list[str]:
@@ -68,8 +66,7 @@ def term_join(
 
     A table of at most ``max_rows`` rows is broadcast. A larger one is joined by
     shuffle, with the pairs of each hot term spread over ``HOT_SALTS`` keys; only the
-    hot rows of the table are repeated. Its share of a partition is small, so it
-    is hashed there and the pairs are not sorted.
+    hot rows of the table are repeated.
     """
     if is_small(table, max_rows):
         return pairs.join(F.broadcast(table), "term")
@@ -79,7 +76,7 @@ def term_join(
     )
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(flagged, "term", "left").withColumn("_salt", F.explode(salts.cast("array<bigint>")))
-    return left.drop("_hot").join(right.drop("_hot").hint("shuffle_hash"), ["term", "_salt"]).drop("_salt")
+    return left.drop("_hot").join(right.drop("_hot"), ["term", "_salt"]).drop("_salt")
 
 
 def l2_normalised(weights: DataFrame, doc_cols: Sequence[str], weight: str = "weight") -> DataFrame:
@@ -114,59 +111,30 @@ def limit_vocabulary(totals: DataFrame, group_cols: Sequence[str], max_features:
     ).drop("_rank")
 
 
-def _any_of(listed: DataFrame, limit: int) -> Callable[[Column], Column] | None:
-    """A test that a term is listed for any group, as a hash set literal; None above ``limit`` rows."""
-    rows = listed.select("term").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    known = sorted({row["term"] for row in rows})
-    return lambda term: term.isin(known)
-
-
-def _attach(df: DataFrame, per_group: DataFrame, group: str, id_col: str, small: bool) -> DataFrame:
-    """Join one row per group; ``small`` says that the rows it was made of were counted."""
-    if small:
-        return df.join(F.broadcast(per_group), group)
-    return lookup_join(df, per_group, [group], id_col)
-
-
 def group_candidates(
     df: DataFrame, group: str, id_col: str, text_col: str, stop_words: Sequence[str], max_features: int = 100,
-    max_literal: int = LITERAL_TERMS,
 ) -> DataFrame:
     """``(group, id, counts)``: per answer, the terms that can enter the vocabulary.
 
-    A kept term is at least as frequent as the word of rank ``max_features``, and
-    so is each word in it: with ties counted, both words of a kept bigram are
-    listed. Should ties make the lists too long, they are cut without them. Then
-    only the first word is sure to be listed: it is at least as frequent as its
-    bigram, and where it is equally frequent it sorts before it.
+    The ``max_features`` most frequent words of each group are listed, ties in word order. The
+    first word of a kept bigram is one of them: it is at least as frequent as its bigram, and where
+    it is equally frequent it sorts before it. So only listed words and the bigrams that begin with
+    one leave their row. A null group has no candidates.
 
-    Most bigrams are rare and never leave their row. What is left is a small part
-    of the text and is read several times, so it is written out once.
+    What is left is a part of the text and is read several times, so it is written out once.
     """
     tokens = terms(F.col(text_col), stop_words)
     totals = (
         df.select(group, F.explode(tokens).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
     )
-    by_count = Window.partitionBy(group).orderBy(F.desc("n"))
-    tied = totals.withColumn("_rank", F.rank().over(by_count)).filter(F.col("_rank") <= max_features)
-    listed = cut_lineage(tied.select(group, "term", "n"))
-    listed_any = _any_of(listed, max_literal)
-    both = listed_any is not None
-    if not both:
-        listed = limit_vocabulary(listed, [group], max_features)
+    listed = limit_vocabulary(totals, [group], max_features)
     lists = listed.groupBy(group).agg(F.collect_list("term").alias("_words"))
 
     def candidates(sequence: Column) -> Column:
-        def is_listed(token: Column) -> Column:
-            exact = F.array_contains(F.col("_words"), token)
-            return listed_any(token) & exact if both else exact
-
-        hits = F.transform(sequence, lambda token: F.when(is_listed(token), token))
-        return bind(hits, lambda hit: F.array_compact(F.concat(hit, bigrams(hit, hit if both else sequence))))
+        hits = F.transform(sequence, lambda token: F.when(F.array_contains(F.col("_words"), token), token))
+        return bind(hits, lambda hit: F.array_compact(F.concat(hit, bigrams(hit, sequence))))
 
-    joined = _attach(df.select(group, id_col, text_col), lists, group, id_col, both)
+    joined = lookup_join(df.select(group, id_col, text_col), lists, [group], id_col)
     counted = joined.select(group, id_col, term_counts(bind(tokens, candidates)).alias("counts"))
     return cut_lineage(counted.filter(F.size("counts") > 0))
 
@@ -203,7 +171,6 @@ def tfidf_by_group(
     stop_words = resolve_stop_words(df.sparkSession, stop_words)
     candidates = group_candidates(df, group, id_col, text_col, stop_words, max_features)
     vocabulary = cut_lineage(candidate_vocabulary(candidates, group, max_features))
-    in_any = _any_of(vocabulary, LITERAL_TERMS)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_docs"))
     maps = vocabulary.join(sizes, group).groupBy(group).agg(
         F.map_from_entries(F.collect_list(F.struct("term", idf(F.col("_docs"), F.col("df"))))).alias("_idf")
@@ -213,9 +180,8 @@ def tfidf_by_group(
         weight = count["tf"] * F.try_element_at(F.col("_idf"), count["term"])
         return F.struct(count["term"].alias("term"), count["tf"].alias("tf"), weight.alias("weight"))
 
-    listed = F.filter("counts", lambda count: in_any(count["term"])) if in_any else F.col("counts")
-    kept = F.filter(F.transform(listed, weighted), lambda entry: entry["weight"].isNotNull())
-    rows = _attach(candidates, maps, group, id_col, in_any is not None).select(
+    kept = F.filter(F.transform(F.col("counts"), weighted), lambda entry: entry["weight"].isNotNull())
+    rows = lookup_join(candidates, maps, [group], id_col).select(
         group, id_col, F.explode(bind(kept, _unit_length)).alias("_row")
     )
     return rows.select(group, id_col, "_row.term", "_row.tf", "_row.weight")
