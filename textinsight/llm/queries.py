@@ -10,6 +10,7 @@ from textinsight.llm.common import id_remainder
 from textinsight.llm.decontamination import contaminated
 from textinsight.llm.exact_dedup import exact_duplicates
 from textinsight.llm.html_text import extract_pages
+from textinsight.llm import license_scan as licenses
 from textinsight.llm.license_scan import license_scan
 from textinsight.llm.mixing import mix_sources
 from textinsight.llm.pii import replace_personal_data
@@ -81,7 +82,31 @@ QUERIES = {
     "op10_template_decontamination": op10_template_decontamination,
 }
 
+_TEMPLATES = ",\n".join(
+    f"('{text}', '{label}', {exact}, {grams}, {at}, '{a}', '{b}', '{c}')"
+    for text, label, exact, grams, at, (a, b, c) in licenses._template_rows(licenses.BASE_PHRASES, licenses.TEMPLATES, licenses.GRAM)
+)
+
 SQL = {
+    "op1_license_scan": rf"""
+WITH t(template, label, exact, grams, tpos, a, b, c) AS (VALUES {_TEMPLATES}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+v AS (SELECT doc_id, template, label, exact, grams, pos - tpos AS diagonal, bit_or(CAST(1 AS BIGINT) << tpos) AS bits, min(pos) AS s, max(pos) AS e
+      FROM g JOIN t USING (a, b, c) GROUP BY ALL),
+n AS (SELECT *, exact OR coalesce(diagonal - lag(diagonal) OVER w > {licenses.SLACK}, true) AS new FROM v
+      WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+r AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM n),
+u AS (SELECT doc_id, template, label, exact, grams, bit_or(bits) AS bits, min(s) AS s, max(e) AS e FROM r GROUP BY doc_id, template, label, exact, grams, run),
+f AS (SELECT *, bit_count(bits) / grams AS share FROM u
+      WHERE CASE WHEN exact THEN bit_count(bits) = grams
+            ELSE bit_count(bits) >= {licenses.COVERAGE} * grams AND (bits >> (grams - 1)) & 1 = 1 AND e - s + 1 <= 2 * grams END)
+SELECT d.doc_id, len(any_value(d.w)) AS n_words, count(s) FILTER (WHERE exact) AS n_base, min(s) FILTER (WHERE exact) AS first_word,
+  max(s) FILTER (WHERE exact) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0) AS score
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""",
     "op9_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
