@@ -20,10 +20,10 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noembed", "xmp"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that never hold main text.
-DROPPED = RAW | frozenset("head nav header footer aside form button select option dialog menu object video audio canvas figcaption map".split())
+DROPPED = RAW | frozenset("head nav header footer aside form button select option dialog menu object video audio canvas map".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "blockquote pre figure address details summary center hr fieldset hgroup".split()) | DROPPED
+    "blockquote pre figure figcaption address details summary center hr fieldset hgroup".split()) | DROPPED
 # Class, id or role words of what is not the article.
 UNLIKELY = re.compile(
     r"(?:^|(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)[\s_-])(?:ads?|adslots?|adsbygoogle|advert\w*|banner|breadcrumbs?|combx|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|"

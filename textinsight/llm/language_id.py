@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textinsight.llm.bytegrams import ORDER, PAD, Lookup, contexts, counted, strings
+from textinsight.llm.common import materialize
+from textinsight.session import small_side
 
 # The classifier is fitted on at most so many labelled rows of each language, whole texts.
 ROWS_PER_LANGUAGE = 1000
@@ -38,10 +40,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample_rows(labelled: DataFrame, lang_col: str, id_col: str, rows: int) -> DataFrame:
     """About ``rows`` rows of each language, and never more, drawn by a hash of the id."""
-    sizes = labelled.groupBy(lang_col).agg(F.count("*").alias("_n"))
+    sizes = small_side(materialize(labelled.groupBy(lang_col).agg(F.count("*").alias("_n"))))
     hashed = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / (1 << 30)
     drawn = (
-        labelled.withColumn("_u", hashed).join(F.broadcast(sizes), lang_col)
+        labelled.withColumn("_u", hashed).join(sizes, lang_col)
         .filter(F.col("_u") * F.col("_n") < rows)
     )
     place = F.row_number().over(Window.partitionBy(lang_col).orderBy("_u", F.xxhash64("text")))
