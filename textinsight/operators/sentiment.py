@@ -19,21 +19,16 @@ NEGATED = -0.5
 POLARITY_DIGITS = 9
 
 DEFAULT_NEGATORS = ("no", "not", "never", "without", "hardly")
-DEFAULT_LEXICON = {
-    "amazing": 0.6, "awesome": 1.0, "beautiful": 0.85, "best": 1.0, "better": 0.5, "clear": 0.1,
-    "confident": 0.5, "easy": 0.43, "effective": 0.6, "efficient": 0.4, "enjoy": 0.4, "excellent": 1.0,
-    "fair": 0.7, "fast": 0.2, "fine": 0.4, "free": 0.4, "friendly": 0.4, "fun": 0.3, "glad": 0.5,
-    "good": 0.7, "great": 0.8, "happy": 0.8, "helpful": 0.5, "impressive": 1.0, "interesting": 0.5,
-    "kind": 0.6, "love": 0.5, "nice": 0.6, "perfect": 1.0, "pleasant": 0.7, "relevant": 0.4,
-    "reliable": 0.5, "right": 0.3, "satisfied": 0.5, "smooth": 0.4, "strong": 0.4, "superb": 1.0,
-    "useful": 0.3, "valuable": 0.6, "wonderful": 1.0,
-    "ambiguous": -0.3, "annoying": -0.8, "awful": -1.0, "bad": -0.7, "boring": -1.0, "broken": -0.4,
-    "complicated": -0.5, "confusing": -0.3, "difficult": -0.5, "disappointed": -0.75, "dull": -0.3,
-    "expensive": -0.5, "frustrating": -0.4, "hard": -0.3, "horrible": -1.0, "lacking": -0.3,
-    "missing": -0.2, "outdated": -0.4, "overwhelming": -0.5, "pain": -0.6, "poor": -0.4, "sad": -0.5,
-    "slow": -0.3, "terrible": -1.0, "tough": -0.4, "unclear": -0.3, "unhappy": -0.6, "unsure": -0.2,
-    "useless": -0.5, "worse": -0.4, "worst": -1.0, "wrong": -0.5,
+# Our own short list on a scale of three steps each way. Pass a lexicon for real work.
+_WORDS = {
+    1.0: "amazing awesome best brilliant delightful excellent outstanding perfect superb wonderful",
+    0.6: "beautiful easy enjoy friendly good great happy helpful impressive love nice pleasant reliable satisfied valuable",
+    0.3: "better clear effective efficient fair fast fine fun glad interesting kind relevant right smooth strong useful",
+    -0.3: "complicated difficult dull expensive hard lacking missing outdated slow tough unclear unsure",
+    -0.6: "annoying bad boring broken confusing disappointed frustrating overwhelming pain poor sad unhappy useless worse wrong",
+    -1.0: "awful disgusting dreadful horrible terrible worst",
 }
+DEFAULT_LEXICON = {word: score for score, words_ in _WORDS.items() for word in words_.split()}
 
 
 def polarity(
