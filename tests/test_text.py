@@ -1,4 +1,5 @@
 import html
+import json
 import random
 import re
 from collections import Counter
@@ -162,3 +163,20 @@ def test_long_tag_and_page(spark):
     page = f"<body><p {attributes}>" + "".join(f"<i>w{i}</i>&amp;" for i in range(20000)) + "<a href='x" + "y" * 100000 + "'>z</a>"
     (got,) = column(spark, [page], lambda c: F.length(H.body_text(H.visible_markup(c))))
     assert got == len("\n".join(f"w{i}\n&" for i in range(20000))) + 2
+
+
+def test_json_documents_that_python_takes_are_kept(spark):
+    texts = ['{"a":1,"a":2}', '{"a":NaN}', '{"b": 1, "a": [1, 2]}', "{broken", '{"a":1} x', '{"a":1},{"b":2}', "{'a':1}", "[1,2]",
+             " null ", "", '{"x":1}]', "1] [2", "1}", '1, "v": 2', '{"u": "\\u00e9"}', "12"]
+
+    def accepted(text):
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", H.valid_json(F.array("t")).alias("v"))
+    got = {texts[r["i"]]: r["v"] for r in rows.collect()}
+    assert {t: bool(v) for t, v in got.items()} == {t: accepted(t) for t in texts}
+    assert got['{"a":1,"a":2}'] == ['{"a":1,"a":2}'] and got['{"b": 1, "a": [1, 2]}'] == ['{"b":1,"a":[1,2]}']

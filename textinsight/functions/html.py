@@ -227,6 +227,7 @@ def valid_json(documents: Column) -> Column:
     def parsed(text: Column) -> Column:
         element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", options)
         field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string", options)
-        return F.when((F.size(element) == 1) & field["v"].isNotNull(), F.get(element, 0))
+        return F.when(text.rlike(r"^\s*null\s*$"), "null").when(
+            (F.size(element) == 1) & field["v"].isNotNull(), F.get(element, 0))
 
     return F.array_compact(F.transform(documents, parsed))
