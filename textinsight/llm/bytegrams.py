@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 
 ORDER = 4  # bytes of context
-CHUNK = 1 << 20  # bytes handled at once
+CHUNK = 1 << 18  # bytes handled at once
+MERGE = 32  # chunks whose counts are merged at once
 PAD = "\0" * ORDER  # goes before each text, so that its first bytes have a whole context
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,6 +50,16 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield keys[np.cumsum(keep[:-1]).astype(bool)], owner, np.cumsum(sizes) - sizes
 
 
+def count_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct grams of a column and their counts; ``None`` without any."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for keys, _, _ in contexts(data, offsets):
+        parts.append(np.unique(keys, return_counts=True))
+        if len(parts) == MERGE:
+            parts = [counted(parts)]
+    return counted(parts) if parts else None
+
+
 def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with the sums of their counts."""
     keys, counts = (np.concatenate(x) for x in zip(*parts))

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textinsight.llm.bytegrams import ORDER, PAD, Lookup, contexts, counted, strings
+from textinsight.llm.bytegrams import ORDER, PAD, Lookup, contexts, count_grams, counted, strings
 from textinsight.llm.common import materialize
 from textinsight.session import small_side
 
@@ -31,9 +31,9 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang in batch.column(0).unique().to_pylist():
             rows = pc.equal(batch.column(0), lang)
-            parts = [np.unique(keys, return_counts=True) for keys, _, _ in contexts(*strings(batch.column(1).filter(rows)))]
-            if parts:
-                keys, counts = counted(parts)
+            found = count_grams(*strings(batch.column(1).filter(rows)))
+            if found:
+                keys, counts = found
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
