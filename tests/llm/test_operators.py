@@ -488,6 +488,24 @@ def test_contaminated(spark):
     assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(1, 1, True), (2, 1, False), (4, 4, True), (7, 4, True)]
 
 
+def test_number_series_and_edited_figures(spark):
+    items = [
+        (1, "2, 4, 8, 16, 32, 64"), (2, "assert f([1, 2, 3, 4, 5, 6]) == 21"), (3, "5 km 8 kg 3 km 9 kg"), (4, ITEMS[0][1]),
+        (5, "Give the series 2, 4, 8, 16, 32, 64 and please tell the very next number of it now"),
+    ]
+    many = ", ".join(str(i * 7 % 101) for i in range(400))
+    texts = [
+        (1, "2, 4, 8, 16, 32, 64"), (2, f"{many}, 2, 4, 8, 16, 32, 64, {many}"), (3, "So assert f([1, 2, 3, 4, 5, 6]) == 21 holds."),
+        (4, "first 5 km 8 kg 3 km 9 kg then"), (5, many), (6, ITEMS[0][1].replace("3 plums", "4 plums")),
+        (7, items[4][1].replace("please tell", "please do tell")), (8, "Give the series 3, 6, 9, 12, 15, 18 and please do tell the very next number of it now"),
+        (9, "7 km 1 kg 2 km 6 kg"),
+    ]
+    got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [
+        (1, 1, True), (2, 1, True), (3, 2, True), (4, 3, True), (6, 4, False), (7, 1, True), (7, 5, True), (8, 5, False)]
+    assert {(r.doc_id, r.item_id): r.place for r in got}[2, 1] == 400
+
+
 def test_planted_items_are_found(spark, rows):
     items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))

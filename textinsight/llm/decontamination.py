@@ -68,12 +68,16 @@ def contaminated(
 
     Texts and items become templates: numbers, units and names turn into placeholders of their type.
     All windows of ``window`` template tokens of all documents are hash-joined to those of the items.
-    Matches of a document and an item are gathered by how far the text is ahead of the item; runs
-    not more than ``slack`` apart belong together, as words put in or dropped shift the rest. An item
-    is found where ``coverage`` of its windows are, and its slots are consistent: one value of the
-    item always stands for one value of the text and the other way round. So a question with other
-    numbers or names is caught, a chance likeness of templates is not. ``exact`` says that all slot
-    values agree; ``place`` is the first matching token.
+    Matches of a document and an item are told apart by how far the text is ahead of the item. Each
+    such diagonal is judged by itself; then runs of diagonals not more than ``slack`` apart are judged
+    together, as words put in or dropped shift the rest. There every window of the item takes one
+    match only: one with equal values, else that of the longest unbroken stretch.
+
+    An item is found where ``coverage`` of its windows are there with equal values, or where
+    ``coverage`` of them are there, one at least with a plain word, and the slots hold together: most
+    have equal values, or one value of the item stands for one value of the text but for a quarter
+    of edited slots. So a question with other numbers or names is caught, a chance likeness of
+    templates is not. ``exact`` says that all slot values agree; ``place`` is the first matching token.
 
     The windows of the items are broadcast up to a checked number of them and joined by shuffle
     beyond it. Items of fewer than ``window`` tokens have no window and are not looked for; null
@@ -88,27 +92,39 @@ def contaminated(
     placed = _placed(rows, ["id", "text_hash"], window).drop("windows")
     found = placed.join(F.broadcast(items) if is_small(items, BROADCAST_WINDOWS) else items, "window")
     pairs = F.filter(
-        F.arrays_zip(F.col("item_tokens").alias("of"), F.slice("tokens", F.col("at") + 1, window).alias("to")),
-        lambda p: _typed(p.of) & _typed(p.to))
-    votes = found.select(
-        "id", "text_hash", "item_id", "windows", (F.col("at") - F.col("item_at")).alias("ahead"), "item_at", pairs.alias("slots"),
-    ).groupBy("id", "text_hash", "item_id", "windows", "ahead").agg(
-        F.collect_set("item_at").alias("seen"), F.flatten(F.collect_set("slots")).alias("slots"))
-    along = Window.partitionBy("id", "text_hash", "item_id").orderBy("ahead")
+        F.arrays_zip(
+            F.sequence("item_at", F.col("item_at") + window - 1).alias("pos"), F.col("item_tokens").alias("of"),
+            F.slice("tokens", F.col("at") + 1, window).alias("to")),
+        lambda p: _typed(p.of))
+    whole = ["id", "text_hash", "item_id"]
+    hits = found.select(*whole, "windows", (F.col("at") - F.col("item_at")).alias("ahead"), "item_at", pairs.alias("slots"))
+    hits = materialize(hits.dropDuplicates([*whole, "ahead", "item_at"]))
+    enough = hits.groupBy(*whole, "windows").agg(F.count_distinct("item_at").alias("n")).filter(F.col("n") >= coverage * F.col("windows"))
+    hits = hits.join(enough.select(*whole), whole, "left_semi").select(
+        "*", (F.size("slots") < window).alias("plain"), F.forall("slots", lambda p: p.of == p.to).alias("same"))
+    diagonal = Window.partitionBy(*whole, "ahead").orderBy("item_at")
+    along = Window.partitionBy(*whole).orderBy("ahead", "item_at")
     new = F.coalesce(F.col("ahead") - F.lag("ahead").over(along) > slack, F.lit(True)).cast("int")
-    runs = votes.withColumn("new", new).withColumn("run", F.sum("new").over(along)).groupBy(
-        "id", "text_hash", "item_id", "windows", "run",
-    ).agg(
-        F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.min("ahead").alias("ahead"),
-    )
-    one_to_one = (
-        (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p.of))))
-        & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p.to))))
-    )
-    share = F.size("seen") / F.col("windows")
-    good = runs.withColumn("share", share).filter((F.col("share") >= coverage) & one_to_one)
-    return good.groupBy("id", "text_hash", "item_id").agg(
-        F.max("share").alias("coverage"), F.max(F.forall("slots", lambda p: p.of == p.to)).alias("exact"),
-        F.min(F.col("ahead") + F.array_min("seen")).alias("place"),
+    hits = hits.withColumn("stretch", F.col("item_at") - F.row_number().over(diagonal)).withColumn("new", new)
+    hits = hits.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "length", F.count("*").over(Window.partitionBy(*whole, "ahead", "stretch")))
+    best = Window.partitionBy(*whole, "run", "item_at").orderBy(F.desc("same"), F.desc("length"), "ahead")
+    merged = hits.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
+    good = _judged(hits, [*whole, "ahead"], coverage).union(_judged(merged, [*whole, "run"], coverage))
+    return good.groupBy(*whole).agg(
+        F.max("share").alias("coverage"), F.max("exact").alias("exact"), F.min("place").alias("place"),
     ).withColumnRenamed("id", id_col)
+
+
+def _judged(hits: DataFrame, by: list[str], coverage: float) -> DataFrame:
+    """The alignments, one for each value of ``by``, that show the item."""
+    seen = hits.groupBy(*by, "windows").agg(
+        F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.max("plain").alias("plain"),
+        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.min(F.col("ahead") + F.col("item_at")).alias("place"),
+    ).filter(F.col("n") >= coverage * F.col("windows"))
+    edited = F.size(F.filter("slots", lambda p: p.of != p.to))
+    astray = F.size(F.filter("slots", lambda p: 2 * F.size(F.filter("slots", lambda q: (q.of == p.of) & (q.to == p.to)))
+                             <= F.size(F.filter("slots", lambda q: q.of == p.of))))
+    together = (2 * edited < F.size("slots")) | (4 * astray <= F.size("slots"))
+    good = seen.filter((F.col("n_same") >= coverage * F.col("windows")) | (F.col("plain") & together))
+    return good.select(*by[:3], (F.col("n") / F.col("windows")).alias("share"), (edited == 0).alias("exact"), "place")
