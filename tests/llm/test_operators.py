@@ -299,6 +299,13 @@ def test_surrogates_stay_distinct(spark):
         assert len(set(new)) == len(values)
 
 
+def test_given_names_of_one_family_stay_distinct(spark):
+    families = ["Smith", "SMITH", "Jones", "O'Neill-Li"]
+    texts = [f"by {given} {family}." for names in pii.GIVEN_NAMES for given in names for family in families]
+    got = pii.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "surrogates").collect()
+    assert len({r.text for r in got}) == len(texts) and all(r.n_replaced == 1 for r in got)
+
+
 def test_surrogate_edges(edges, nothing):
     got = pii.replace_personal_data(edges, "k")
     assert got.columns == [*[c for c in edges.columns if c != "text"], "text", "n_replaced"]

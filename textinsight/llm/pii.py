@@ -127,15 +127,18 @@ def surrogate(kind: Column, found: Column, secret: Column) -> Column:
     number = F.substring(found, F.length(code) + 1, F.length(found))
     number_key = F.concat_ws("|", secret, kind, F.length(F.regexp_replace(number, "[^0-9]", "")).cast("string"), code)
     first = F.regexp_extract(found, "^([^ ]+) ", 1)
+    family = F.substring(found, F.length(first) + F.when(first == "", 1).otherwise(2), F.length(found))
+    family_key = F.concat_ws("|", secret, kind, F.length(family).cast("string"))
+    new_family = _cased(_moved(family, family_key, ALPHABETS), family)
+    # One shift for all given names of a list before one family name, whatever their lengths.
+    given_key = F.concat_ws("|", secret, kind, F.lower(new_family))
     given = None
     for i, names in enumerate(GIVEN_NAMES):
         listed = F.array(*[F.lit(n) for n in names])
         at = F.array_position(listed, first)
-        new = F.get(listed, ((at - 1 + _shift(key, F.lit(str(i)), len(names))) % len(names)).cast("int"))
+        new = F.get(listed, ((at - 1 + _shift(given_key, F.lit(str(i)), len(names))) % len(names)).cast("int"))
         given = F.when(at > 0, new) if given is None else given.when(at > 0, new)
-    family = F.substring(found, F.length(first) + F.when(first == "", 1).otherwise(2), F.length(found))
-    family_key = F.concat_ws("|", secret, kind, F.length(family).cast("string"))
-    name = F.concat_ws(" ", given, _cased(_moved(family, family_key, ALPHABETS), family))
+    name = F.concat_ws(" ", given, new_family)
     return (
         F.when(kind == "email", F.concat(_cased(_moved(mail, mail_key, ALPHABETS), mail), top))
         .when(kind == "secret", _cased(_moved(found, key, HEX), found))
