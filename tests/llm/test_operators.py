@@ -134,6 +134,15 @@ def test_main_text():
     assert main_text("") == "" and main_text("plain  text") == "plain text" and main_text("<p>a<b>b</p></i>c") == "ab\nc"
 
 
+def test_hidden_is_an_attribute_of_its_own():
+    text = "A paragraph of the article, long enough to count, with commas."
+    page = "<body><p>Tagline</p><div %s><p>" + text + "</p></div></body>"
+    for shown in ('style="overflow:hidden"', 'class="overflow-hidden md:hidden"', 'title="hidden gems"', 'hidden="false"', 'data-x="display:none"'):
+        assert text in main_text(page % shown), shown
+    for gone in ("hidden", 'hidden=""', "HIDDEN", 'style="color:red; display : none"', 'aria-hidden="true"'):
+        assert text not in main_text(page % gone), gone
+
+
 def test_pages_hold_their_article(spark):
     found = Q.op2_html_extraction(spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert found

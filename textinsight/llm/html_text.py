@@ -54,8 +54,12 @@ class Node:
 
 
 def _hint(attributes: str) -> str:
-    words = [v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id", "role")]
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes, re.I):
+    pairs = [(k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes)]
+    words = [v for k, v in pairs if k in ("class", "id", "role")]
+    if any(
+        k == "hidden" and v.lower() != "false" or k == "aria-hidden" and v.lower() == "true"
+        or k == "style" and re.search(r"(?:^|[;\s])display\s*:\s*none", v, re.I) for k, v in pairs
+    ):
         words.append("popup")
     return re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(words)).lower()
 
