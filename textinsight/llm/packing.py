@@ -64,10 +64,10 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, words: set[bytes]) -> None:
-        new = words - self.cache.keys()
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > self.cache_words:
             self.cache.clear()
-            new = words
+            new = list(words)
         rest, model = [], self.tokenizer.model
         for word in new:
             if _LETTERS.fullmatch(word):
