@@ -8,6 +8,7 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ END = 0  # the id after each document
 # Pieces one task packs at once.
 SHARD = 1 << 15
 # Words whose ids a worker keeps, and bytes of text it splits at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 PART_BYTES = 1 << 20
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -107,13 +108,12 @@ def _splits_at_blanks(spec: dict) -> bool:
     )
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The encoder of this worker process. This module travels by value, so what outlives a task is kept beside it."""
+    kept = sys.modules.setdefault("_textinsight_encoders", ModuleType("_textinsight_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def token_pieces(
