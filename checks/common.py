@@ -14,6 +14,8 @@ from textinsight.sources.tables import read_table
 STOP_WORDS = ["the", "of", "and", "la", "de", "der"]
 LEXICON = {"for": 0.5, "was": -0.6, "it": 0.2, "der": -0.3, "la": 0.4}
 NEGATORS = ["of", "is"]
+PHRASES = {"for": 0.5, "was": -0.6, "it": 0.2, "la": 0.4, "the and": -0.4, "in that": 0.9, "it is of": -0.8, "de les": 0.7, "des": -0.9}
+INTENSIFIERS = {"to": 1.5, "in": 0.6, "der": 1.25, "et": 2.0}
 SURVEY = "Member survey"
 QUESTION = "What could we do better?"
 KEYWORD_TOP = 15

@@ -15,7 +15,7 @@ from textinsight.sources import responses as R
 from . import common as C
 
 PART_CHARS = 50_000
-KMEANS_SEED, KMEANS_ROUNDS = 42, 2
+KMEANS_SEED = 42
 SEED_SQL = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS cluster FROM (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 3)"
 
 
@@ -142,23 +142,22 @@ def _seed_ids(docs):
 
 def _kmeans_inputs(spark, sf_dir):
     docs = C.documents(spark, sf_dir)
-    pairs = cut_lineage(tfidf.tfidf(docs, "doc_id", "text", C.STOP_WORDS).select("doc_id", "term", "weight"))
-    hot = tfidf.hot_terms(tfidf.doc_frequency(pairs.withColumn("tf", F.lit(1))))
-    return docs, pairs, hot, _seed_ids(docs)
+    vectors, dictionary = tfidf.tfidf_vectors(docs, "doc_id", "text", C.STOP_WORDS)
+    ids = _seed_ids(docs)
+    vectors = cut_lineage(vectors)
+    return vectors, dictionary, ids, kmeans.centroids_from_documents(vectors, ids, "doc_id")
 
 
 def assign_to_centroids(spark, sf_dir):
-    docs, pairs, hot, ids = _kmeans_inputs(spark, sf_dir)
-    centroids = kmeans.centroids_from_documents(pairs, ids, "doc_id")
-    labels = kmeans.assign_to_centroids(pairs, docs, centroids, len(ids), hot, "doc_id")
+    vectors, _, ids, centroids = _kmeans_inputs(spark, sf_dir)
+    labels = kmeans.assign_to_centroids(vectors, centroids, len(ids), "doc_id")
     return labels.select("doc_id", F.col("cluster").cast("bigint").alias("cluster"), F.round("cost", 6).alias("cost"))
 
 
 def update_centroids(spark, sf_dir):
-    docs, pairs, hot, ids = _kmeans_inputs(spark, sf_dir)
-    centroids = kmeans.centroids_from_documents(pairs, ids, "doc_id")
-    labels = cut_lineage(kmeans.assign_to_centroids(pairs, docs, centroids, len(ids), hot, "doc_id"))
-    rows = kmeans.centroid_rows(kmeans.update_centroids(pairs, labels, len(ids), "doc_id"))
+    vectors, dictionary, ids, centroids = _kmeans_inputs(spark, sf_dir)
+    labels = kmeans.assign_to_centroids(vectors, centroids, len(ids), "doc_id")
+    rows = kmeans.centroid_rows(kmeans.update_centroids(vectors, labels, len(ids), "doc_id"), dictionary)
     return rows.select(F.col("cluster").cast("bigint").alias("cluster"), "term", F.round("weight", 6).alias("weight"))
 
 
@@ -171,9 +170,8 @@ def lloyd_rounds(spark, sf_dir):
 
 
 def kmeans_cluster(spark, sf_dir):
-    labelled = kmeans.kmeans_cluster(
-        C.documents(spark, sf_dir), 3, KMEANS_SEED, "doc_id", "text", C.STOP_WORDS, max_iter=KMEANS_ROUNDS, tol=0.0
-    )
+    """Clusters in the operator's own way: seeds of its own, rounds until the centroids rest."""
+    labelled = kmeans.kmeans_cluster(C.documents(spark, sf_dir), 3, KMEANS_SEED, "doc_id", "text", C.STOP_WORDS)
     return labelled.select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
@@ -182,6 +180,12 @@ def polarity(spark, sf_dir):
     return C.documents(spark, sf_dir).select("doc_id", F.round(score, 6).alias("polarity"))
 
 
+def polarity_with_phrases(spark, sf_dir):
+    """Phrases, negators and intensifiers, one plain word between them allowed."""
+    score = sentiment.polarity(F.col("text"), C.PHRASES, C.NEGATORS, C.INTENSIFIERS, 1)
+    return C.documents(spark, sf_dir).select("doc_id", F.round(score, 6).alias("polarity"))
+
+
 def polarity_by_join(spark, sf_dir):
     lexicon = spark.createDataFrame(list(C.LEXICON.items()), "word string, polarity double")
     negators = spark.createDataFrame([(word,) for word in C.NEGATORS], "word string")
@@ -373,6 +377,7 @@ QUERIES = {
     "lloyd_rounds": lloyd_rounds,
     "kmeans_cluster": kmeans_cluster,
     "polarity": polarity,
+    "polarity_with_phrases": polarity_with_phrases,
     "polarity_by_join": polarity_by_join,
     "polarity_from_tables": polarity_from_tables,
     "sentiment_label": sentiment_label,
@@ -451,25 +456,45 @@ def _draw_sql(step: int) -> str:
     return f"ln((CAST('0x' || substr({digest}, 1, 13) AS BIGINT) + 1) / {float(1 << 52)!r})"
 
 
-def _seed_sql(step: int) -> str:
-    """The document that wins the race of this step, after the seeds chosen before."""
-    before = " UNION ALL ".join(f"SELECT doc_id, {i} AS cluster FROM seed{i}" for i in range(step))
-    if not step:
-        return f"own AS (SELECT doc_id, sum(weight * weight) AS own FROM x GROUP BY 1),\nseed0 AS (SELECT doc_id FROM own ORDER BY -{_draw_sql(0)}, doc_id LIMIT 1)"
+def _candidates_sql(step: int) -> str:
+    """How far each document is from the candidates so far; and, after them, the winners of the next race."""
+    more = "" if step == kmeans.PASSES else f""",
+cand{step + 1} AS (SELECT doc_id, ci FROM cand{step} UNION ALL
+  SELECT doc_id, (SELECT count(*) FROM cand{step}) + row_number() OVER (ORDER BY time, doc_id) - 1 FROM (
+    SELECT doc_id, -{_draw_sql(step + 1)} / round(cost + own, 8) AS time FROM near{step} JOIN own USING (doc_id)
+    WHERE round(cost + own, 8) > 0 ORDER BY time, doc_id LIMIT {kmeans.OVERSAMPLE * 3}))"""
     return f"""
-old{step} AS ({before}),
-near{step} AS (SELECT d.doc_id, min(round(n.own - 2 * coalesce(dot, 0), 9)) AS cost
-  FROM documents AS d CROSS JOIN (SELECT o.doc_id AS old_id, own FROM old{step} AS o JOIN own USING (doc_id)) AS n
-  LEFT JOIN (SELECT a.doc_id, b.doc_id AS old_id, sum(a.weight * b.weight) AS dot FROM x AS a JOIN x AS b USING (term)
-             WHERE b.doc_id IN (SELECT doc_id FROM old{step}) GROUP BY 1, 2) AS t ON t.doc_id = d.doc_id AND t.old_id = n.old_id GROUP BY 1),
-far{step} AS (SELECT doc_id, cost + coalesce(own, 0) AS far FROM near{step} LEFT JOIN own USING (doc_id)),
-seed{step} AS (SELECT doc_id FROM far{step} WHERE far > 1e-8 ORDER BY -{_draw_sql(step)} / far, doc_id LIMIT 1)"""
+near{step} AS (SELECT doc_id, min(cost) AS cost, arg_min(ci, ROW(cost, ci)) AS ci FROM (
+  SELECT d.doc_id, n.ci, round(n.own - 2 * coalesce(dot, 0), 9) AS cost
+  FROM own AS d CROSS JOIN (SELECT ci, own FROM cand{step} JOIN own USING (doc_id)) AS n
+  LEFT JOIN (SELECT a.doc_id, c.ci, sum(a.weight * b.weight) AS dot FROM x AS a JOIN x AS b USING (term)
+             JOIN cand{step} AS c ON c.doc_id = b.doc_id GROUP BY 1, 2) AS t ON t.doc_id = d.doc_id AND t.ci = n.ci) GROUP BY 1){more}"""
 
 
-_SQL_KMEANS = f"""{', '.join(_seed_sql(i) for i in range(3))},
-seeds AS (SELECT doc_id, 0 AS cluster FROM seed0 UNION ALL SELECT doc_id, 1 FROM seed1 UNION ALL SELECT doc_id, 2 FROM seed2),
+def _pick_sql(step: int) -> str:
+    """The candidate that wins the race of its weight and its distance to those picked before."""
+    before = " UNION ALL ".join(f"SELECT ci FROM pick{i}" for i in range(step))
+    mass = "CAST(w AS DOUBLE)" if not step else f"w * (SELECT min(apart) FROM apart WHERE apart.a = m.ci AND apart.b IN ({before}))"
+    return f"""
+pick{step} AS (SELECT ci, doc_id FROM (SELECT m.ci, m.doc_id, {mass} AS mass FROM masses AS m) WHERE mass > 0
+  ORDER BY -{_draw_sql(kmeans.PASSES + 1 + step)} / mass, doc_id LIMIT 1)"""
+
+
+# More rounds than the small tables take to rest; after that they change nothing.
+_REST = 30
+_LAST = kmeans.PASSES
+_SQL_KMEANS = f"""own AS (SELECT doc_id, sum(weight * weight) AS own FROM x GROUP BY 1),
+cand0 AS (SELECT doc_id, 0 AS ci FROM own ORDER BY -{_draw_sql(0)}, doc_id LIMIT 1),
+{', '.join(_candidates_sql(i) for i in range(_LAST + 1))},
+masses AS (SELECT c.ci, c.doc_id, count(n.doc_id) AS w FROM cand{_LAST} AS c LEFT JOIN near{_LAST} AS n USING (ci) GROUP BY 1, 2),
+apart AS (SELECT a.ci AS a, b.ci AS b, round(oa.own + ob.own - 2 * coalesce(sum(xa.weight * xb.weight), 0), 8) AS apart
+  FROM cand{_LAST} AS a CROSS JOIN cand{_LAST} AS b JOIN own AS oa ON oa.doc_id = a.doc_id JOIN own AS ob ON ob.doc_id = b.doc_id
+  LEFT JOIN x AS xa ON xa.doc_id = a.doc_id LEFT JOIN x AS xb ON xb.doc_id = b.doc_id AND xb.term = xa.term GROUP BY a.ci, b.ci, oa.own, ob.own),
+{', '.join(_pick_sql(i) for i in range(3))},
+seeds AS (SELECT doc_id, 0 AS cluster FROM pick0 UNION ALL SELECT doc_id, 1 FROM pick1 UNION ALL SELECT doc_id, 2 FROM pick2),
 c0 AS (SELECT cluster, term, weight AS c FROM x JOIN seeds USING (doc_id)),
-{_assign_sql('c0', 'a0')}, {_update_sql('a0', 'c1')}, {_assign_sql('c1', 'a1')}, {_update_sql('a1', 'c2')}, {_assign_sql('c2', 'a2')}"""
+{', '.join(f"{_assign_sql(f'c{i}', f'a{i}')}, {_update_sql(f'a{i}', f'c{i + 1}')}" for i in range(_REST))},
+{_assign_sql(f'c{_REST}', f'a{_REST}')}"""
 _size_sql = f"length('{prompts.CLUSTER_ROLE}') + length({SQL_PROMPT})"
 
 SQL = {
@@ -505,6 +530,31 @@ SQL = {
     "lloyd_rounds": f"""WITH {SQL_SEEDS}, {_assign_sql('c0', 'a0')}, {_update_sql('a0', 'c1')},
         {_assign_sql('c1', 'a1')}, {_update_sql('a1', 'c2')}, {_assign_sql('c2', 'a2')} SELECT doc_id, cluster FROM a2""",
     "polarity": f"SELECT d.doc_id, round(coalesce(polarity, 0.0), 6) AS polarity FROM documents AS d LEFT JOIN ({DOC_POLARITY}) AS s ON s.id1 = d.doc_id",
+    # The state of each document goes from token to token; all documents take a step at once.
+    "polarity_with_phrases": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, {C.SQL_WORDS} AS w FROM documents),
+        lex(entry, size, score) AS (VALUES {', '.join(f"('{e}', {len(e.split())}, CAST({v} AS DOUBLE))" for e, v in C.PHRASES.items())}),
+        mods(word, factor) AS (VALUES {', '.join(f"('{e}', CAST({v} AS DOUBLE))" for e, v in C.INTENSIFIERS.items())}),
+        tok AS (SELECT doc_id, i, w[i] AS word, array_to_string(w[i:i + 1], ' ') AS two, array_to_string(w[i:i + 2], ' ') AS three
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+        ev AS (SELECT doc_id, i, coalesce(c.score, b.score, a.score) AS score, coalesce(c.size, b.size, 1) AS size,
+                 tok.word IN ({C.in_list(C.NEGATORS)}) AS negates, factor
+               FROM tok LEFT JOIN lex AS a ON a.entry = tok.word LEFT JOIN lex AS b ON b.entry = two AND b.size = 2
+               LEFT JOIN lex AS c ON c.entry = three AND c.size = 3 LEFT JOIN mods AS m ON m.word = tok.word),
+        run(doc_id, i, skip, factor, sign, gap, total, n) AS (
+          SELECT doc_id, 1, 0, 1.0::DOUBLE, 1.0::DOUBLE, 0, 0.0::DOUBLE, 0 FROM t
+          UNION ALL
+          SELECT r.doc_id, r.i + 1,
+            CASE WHEN r.skip > 0 THEN r.skip - 1 WHEN e.score IS NOT NULL THEN e.size - 1 ELSE 0 END,
+            CASE WHEN r.skip > 0 OR e.negates AND e.score IS NULL THEN r.factor WHEN e.score IS NOT NULL THEN 1.0
+              WHEN e.factor IS NOT NULL THEN r.factor * e.factor WHEN r.gap < 1 THEN 1 + (r.factor - 1) * 0.5 ELSE 1.0 END,
+            CASE WHEN r.skip > 0 THEN r.sign WHEN e.score IS NOT NULL THEN 1.0 WHEN e.negates THEN -0.5
+              WHEN e.factor IS NOT NULL OR r.gap < 1 THEN r.sign ELSE 1.0 END,
+            CASE WHEN r.skip > 0 THEN r.gap WHEN e.score IS NOT NULL OR e.negates OR e.factor IS NOT NULL OR r.gap >= 1 THEN 0 ELSE r.gap + 1 END,
+            r.total + CASE WHEN r.skip = 0 AND e.score IS NOT NULL THEN greatest(-1.0, least(1.0, e.score * r.factor * r.sign)) ELSE 0.0 END,
+            r.n + CASE WHEN r.skip = 0 AND e.score IS NOT NULL THEN 1 ELSE 0 END
+          FROM run AS r JOIN ev AS e ON e.doc_id = r.doc_id AND e.i = r.i)
+        SELECT doc_id, round(CASE WHEN arg_max(n, i) > 0 THEN arg_max(total, i) / arg_max(n, i) ELSE 0.0 END, 6) AS polarity FROM run GROUP BY 1""",
     "polarity_by_join": f"SELECT d.doc_id, round(coalesce(polarity, 0.0), 6) AS polarity FROM documents AS d LEFT JOIN ({DOC_POLARITY}) AS s ON s.id1 = d.doc_id",
     "polarity_from_tables": f"SELECT d.conv_id, round(coalesce(polarity, 0.0), 6) AS polarity FROM conversations AS d LEFT JOIN ({TURN_POLARITY}) AS s ON s.id1 = d.conv_id AND s.id2 = d.turn",
     "sentiment_label": f"SELECT d.doc_id, {LABEL.format(p='coalesce(polarity, 0.0)')} AS sentiment FROM documents AS d LEFT JOIN ({DOC_POLARITY}) AS s ON s.id1 = d.doc_id",
@@ -536,8 +586,8 @@ SQL = {
         SELECT lang, part, CASE WHEN size % 4 <> 3 THEN size || ' characters at 0.5' END AS reply,
           CASE WHEN size % 4 = 3 THEN 'ValueError: no answer' END AS error FROM sized""",
     "kmeans_cluster": f"""WITH {C.SQL_TFIDF}, {_SQL_KMEANS},
-        first_ids AS (SELECT cluster, row_number() OVER (ORDER BY min(doc_id)) - 1 AS renamed FROM a2 GROUP BY 1)
-        SELECT doc_id, renamed AS cluster FROM a2 JOIN first_ids USING (cluster)""",
+        first_ids AS (SELECT cluster, row_number() OVER (ORDER BY min(doc_id)) - 1 AS renamed FROM a{_REST} GROUP BY 1)
+        SELECT doc_id, renamed AS cluster FROM a{_REST} JOIN first_ids USING (cluster)""",
     # Groups of up to 64 parts: the parts, every eight of them, every eight of those.
     "summarize_clusters": f"""
         WITH {SQL_PARTS},

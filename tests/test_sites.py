@@ -4,7 +4,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from textinsight import session
 from textinsight.operators import crawl, keywords, site
+from textinsight.operators.prompts import pair_sites
 from textinsight.operators.report import write_site_report
 from textinsight.plans.sites import compare_sites, profile_sites
 
@@ -46,6 +48,55 @@ def test_walk_follows_the_first_shortest_paths(spark, seed, max_depth, max_pages
         assert got[start] == [(url, len(paths[url])) for url in order[:max_pages]]
 
 
+def test_a_url_that_all_seeds_want(spark, monkeypatch):
+    """400 walks over one host, all through its first page; also with the lookups by shuffle."""
+    urls = [f"http://hot.example/{i}" for i in range(400)]
+    links = {url: [urls[0], urls[(i + 1) % 400]] for i, url in enumerate(urls)}
+    pages = spark.createDataFrame(
+        [(i, url, "".join(f'<a href="{t}">x</a>' for t in targets)) for i, (url, targets) in enumerate(links.items())],
+        "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(u,) for u in urls], "seed string")
+    for size in (500_000, 0):
+        monkeypatch.setattr(session, "is_small", lambda df, max_rows=0, size=size: size > 0)
+        rows = crawl.crawl_frontier(seeds, crawl.link_table(pages), 2, 4).collect()
+        got = {}
+        for row in sorted(rows, key=lambda r: (r["seed"], r["ord"])):
+            got.setdefault(row["seed"], []).append(row["url"])
+        for start in urls:
+            paths = shortest_paths(start, links, 2)
+            assert got[start] == sorted(paths, key=lambda url: (len(paths[url]), paths[url]))[:4]
+
+
+def test_a_depth_reads_the_link_table_as_it_lies(spark):
+    table = spark.createDataFrame([(f"u{i}", i, [f"u{i + 1}"]) for i in range(50)], "url string, page_id long, links array<string>")
+    found = spark.createDataFrame([(f"s{i}", f"u{i % 9}") for i in range(60)], "seed string, url string")
+    placed, name = session.bucketed(table, ["url"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = crawl.wanted_pages(placed, found)
+        plan = wanted._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("FileScan")].split("Join")[-1]
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(url") == 1 and "Exchange" not in above
+        assert sorted(r["url"] for r in wanted.collect()) == [f"u{i}" for i in range(9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert session.unbucketed(spark, name).count() == 50 and not spark.catalog.tableExists(name)
+
+
+def test_pairs_of_a_hot_seed(spark, monkeypatch):
+    pairs = spark.createDataFrame([(i, "hot", f"s{i % 40}") for i in range(500)] + [(500, None, "s1"), (501, "gone", "hot")], "pair_id long, seed_a string, seed_b string")
+    summaries = spark.createDataFrame([("hot", "H", None)] + [(f"s{i}", f"S{i}", None) for i in range(39)] + [("s39", None, "down")], "seed string, summary string, error string")
+    for small in (True, False):
+        monkeypatch.setattr(session, "is_small", lambda df, max_rows=0, small=small: small)
+        rows = {r["pair_id"]: r for r in pair_sites(pairs, summaries).collect()}
+        assert len(rows) == 502
+        for i in range(500):
+            assert rows[i]["summary_a"] == "H" and rows[i]["summary_b"] == (f"S{i % 40}" if i % 40 < 39 else None)
+            assert rows[i]["error_b"] == ("down" if i % 40 == 39 else None)
+        assert (rows[500]["summary_a"], rows[500]["summary_b"], rows[501]["summary_a"], rows[501]["summary_b"]) == (None, "S1", None, "H")
+
+
 def test_fragments_ports_and_doubles(spark):
     pages = spark.createDataFrame(
         [

@@ -1,13 +1,15 @@
 import math
 import random
+import time
+import uuid
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from textinsight.functions.text import terms
-from textinsight.operators import grouping, keywords, kmeans, sentiment, tfidf
-from textinsight.operators.completion import complete
+from textinsight.operators import completion, grouping, keywords, kmeans, sentiment, tfidf
+from textinsight.operators.completion import complete, prompt_key, read_ledger
 from textinsight.operators.prompts import chat_messages
 from textinsight.operators.report import write_report
 from textinsight.plans.survey import analyze_survey, summarize_clusters
@@ -250,6 +252,77 @@ def test_completion_errors_and_retries(spark):
     assert [row["error"] for row in rows] == [None, "RuntimeError: down", None]
 
 
+def test_phrases_and_modifiers_from_left_to_right(spark):
+    lexicon = {"good": 0.5, "bad": -0.6, "good for nothing": -0.8, "good for": 0.1, "out of date": -0.4}
+    cases = {
+        "good": 0.5, "not good": -0.25, "very good": 0.75, "not very good": -0.375, "very not good": -0.375, "very very good": 1.0,
+        "good for nothing": -0.8, "good for many": 0.1, "not good for nothing": 0.4, "very a good": 0.625, "very a b good": 0.5,
+        "not a good": -0.25, "not a b good": 0.5, "good bad": -0.05, "very good good": 0.625, "it is out of date": -0.4, "out of": 0.0,
+        "": 0.0, "slightly bad": -0.3, "good for nothing good": -0.15, "not": 0.0, "very bad and not out of date": -0.35,
+    }
+    df = answers(spark, [*cases, None])
+    score = sentiment.polarity(F.col("response"), lexicon, ["not"], {"very": 1.5, "slightly": 0.5}, 1)
+    got = [r["p"] for r in df.select("response_id", score.alias("p")).orderBy("response_id").collect()]
+    assert got[:-1] == pytest.approx(list(cases.values())) and got[-1] in (None, 0.0)
+    plain = {"good": 0.5, "bad": -0.6}  # the state gives what the plain way gives
+    both = [sentiment.polarity(F.col("response"), plain, ["not"], *more).alias(n) for n, more in (("a", ()), ("b", ({"none": 2.0},)))]
+    assert all(r["a"] == r["b"] for r in df.filter("response is not null").select(*both).collect())
+
+
+def test_a_killed_job_asks_no_finished_prompt_again(spark, tmp_path):
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+
+    def counting(deadly, marks=str(calls)):
+        def make_client():
+            def client(messages, temperature):
+                text = messages[1]["content"]
+                if text == deadly:
+                    time.sleep(1)
+                    raise SystemExit("the executor is gone")
+                with open(f"{marks}/{uuid.uuid4().hex}", "w") as mark:
+                    mark.write(text)
+                if text == "answer 5":
+                    raise ValueError("refused")
+                return text.upper()
+
+            return client
+
+        return make_client
+
+    def asked():
+        return sorted(mark.read_text() for mark in calls.iterdir())
+
+    texts = [f"answer {i}" for i in range(40)] + ["answer 1"] * 3
+    df = answers(spark, texts).withColumn("messages", F.when(F.col("response_id") != 7, chat_messages("role", F.col("response"))))
+    with pytest.raises(Exception):
+        complete(df, counting("answer 30"), 0.5, retries=0, ledger=ledger, batch=2)
+    before = asked()
+    done = {r["key"] for r in read_ledger(spark, ledger).filter("error is null").collect()}
+    assert 0 < len(done) <= len(before) < 39
+    rows = {r["response_id"]: r for r in complete(df, counting(None), 0.5, retries=0, ledger=ledger, batch=2).collect()}
+    assert {i: (r["reply"], r["error"]) for i, r in rows.items()} == {
+        i: (None, "nothing to send") if i == 7 else (None, "ValueError: refused") if i == 5 else (t.upper(), None) for i, t in enumerate(texts)}
+    assert df.columns[:2] + ["reply", "error"] == complete(df, counting(None), 0.5, retries=0, ledger=ledger).columns
+    again = Counter(asked())
+    # what was in the ledger was not asked again, and equal prompts are one; failed ones are asked again
+    assert sum(again.values()) - len(before) >= 39 - len(before) and again["answer 1"] == 1 and again["answer 5"] >= 2
+    known = df.select(prompt_key(F.col("messages"), 0.5).alias("key"), "response").filter(F.col("key").isin(list(done))).collect()
+    assert all(again[r["response"]] == 1 for r in known)
+    other = complete(df.limit(2), counting(None), 0.7, retries=0, ledger=ledger)  # another temperature is another prompt
+    assert other.count() == 2 and sum(Counter(asked()).values()) == sum(again.values()) + 2
+
+
+def test_tries_wait_longer_and_longer(monkeypatch):
+    waits = []
+    monkeypatch.setattr(completion.time, "sleep", waits.append)
+
+    def client(messages, temperature):
+        raise OSError("busy")
+
+    assert completion._asked(client, [], None, 3, 0.5) == (None, "OSError: busy") and waits == [0.5, 1.0, 2.0]
+
+
 def model():
     def make_client():
         def client(messages, temperature):

@@ -35,11 +35,15 @@ def _answers(spark, args):
     return lines.select("response_id", F.col("line").alias("response"))
 
 
+def _sending(args) -> dict:
+    return {"ledger": args.ledger or f"{args.output}/ledger", "backoff": args.backoff, "retries": args.retries}
+
+
 def survey(args) -> None:
     spark = build_session("survey insight")
     result = analyze_survey(
         _answers(spark, args), args.name, args.question, _client(args.client), args.clusters,
-        max_keywords=args.keywords,
+        max_keywords=args.keywords, **_sending(args),
     )
     write_report(result.report, f"{args.output}/report", args.name, args.question, args.report_format)
     result.clustered.write.mode("overwrite").parquet(f"{args.output}/clustered")
@@ -49,7 +53,8 @@ def survey(args) -> None:
 def sites(args) -> None:
     spark = build_session("site comparison")
     pairs = spark.read.parquet(args.pairs)
-    lines = compare_sites(pairs, read_pages(spark, args.pages), _client(args.client), args.depth, args.max_pages)
+    lines = compare_sites(pairs, read_pages(spark, args.pages), _client(args.client), args.depth, args.max_pages,
+                          **_sending(args))
     write_site_report(lines, args.output)
 
 
@@ -79,6 +84,9 @@ def main(argv: list[str] | None = None) -> None:
     for job in (one, two):
         job.add_argument("--client", required=True, help="module:make_client")
         job.add_argument("--output", required=True)
+        job.add_argument("--ledger", help="folder of replies that are paid for; by default one in the output")
+        job.add_argument("--retries", type=int, default=2)
+        job.add_argument("--backoff", type=float, default=1.0, help="seconds before the second try, then twice as long each")
     args = parser.parse_args(argv)
     args.run(args)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values. White space and line breaks as Python's str.strip and
@@ -27,6 +27,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def exploded(df: DataFrame, keys: Sequence[str], values: Column, name: str) -> DataFrame:
+    """``(keys..., name)``: one row per element that is not null.
+
+    Spark puts a filter on the size of the array below a plain ``explode``, and so works an expression out twice.
+    """
+    return df.select(*keys, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode white space from both ends."""
     return F.btrim(text, F.lit(WHITESPACE_CHARS))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.urls import netloc, same_host, url_join
-from ..session import cut_lineage, is_small, small_side
+from ..session import bucketed, cut_lineage, is_small, lookup_join, small_side, unbucketed
 
 
 def html_links(pages: DataFrame) -> DataFrame:
@@ -68,6 +70,15 @@ def limit_pages(walk: DataFrame, max_pages: int) -> DataFrame:
     return walk.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_pages).drop("_n")
 
 
+def wanted_pages(table: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of a link table that a frontier wants, each once.
+
+    ``table`` is bucketed by URL, so it is read as it lies: only the URLs of the frontier move, and
+    they are distinct, however many seeds want one.
+    """
+    return table.join(found.select("url").distinct(), "url")
+
+
 def crawl_frontier(
     seeds: DataFrame, table: DataFrame, max_depth: int = 2, max_pages: int = 10
 ) -> DataFrame:
@@ -78,36 +89,41 @@ def crawl_frontier(
     the order a first-in-first-out queue would give. At most ``max_pages`` rows
     per seed go from one depth to the next: a later page is never fetched, so
     neither is anything it links to.
+
+    The link table is written once, bucketed by URL, and no depth shuffles it again. The rows of a
+    depth are bucketed by (seed, URL), as the frontier is grouped, to be compared with it where they
+    lie. A URL that very many seeds want is fetched once and then meets their rows salted by seed.
     """
-    hosts = seeds.select(netloc(F.col("seed")).alias("_host")).distinct()
+    spark = seeds.sparkSession
+    hosts = small_side(cut_lineage(seeds.select(netloc(F.col("seed")).alias("_host")).distinct()))
     table = table.withColumn("_host", netloc(F.col("url"))).join(hosts, "_host", "left_semi").drop("_host")
-    table = cut_lineage(table)
+    table, links_name = bucketed(table, ["url"])
 
     found = seeds.select("seed").distinct().select(
         "seed", F.col("seed").alias("url"), F.lit(0).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("pos")
     )
-    walk = None
+    levels: list[tuple[DataFrame, str]] = []
+    before = None  # pages of each seed so far
     for depth in range(max_depth + 1):
-        if walk is not None:
-            found = drop_visited(found, walk)
+        for visited, _ in levels:
+            found = drop_visited(found, visited)
         order = Window.partitionBy("seed").orderBy("parent", "pos")
-        # a frontier that may be broadcast spares the table a shuffle
-        fetched = table.join(small_side(cut_lineage(found)), "url").withColumn("_n", F.row_number().over(order).cast("bigint"))
-        fetched = fetched.filter(F.col("_n") <= max_pages)
-        before = F.lit(0).cast("bigint")
-        if walk is not None:
-            counts = walk.groupBy("seed").agg(F.count(F.lit(1)).alias("_before"))
-            fetched = fetched.join(counts, "seed", "left")
-            before = F.coalesce(F.col("_before"), before)
+        fetched = lookup_join(found, wanted_pages(table, found), ["url"], "seed")
+        fetched = fetched.withColumn("_n", F.row_number().over(order).cast("bigint")).filter(F.col("_n") <= max_pages)
+        start = F.lit(0).cast("bigint")
+        if before is not None:
+            fetched = fetched.join(before, "seed", "left")
+            start = F.coalesce(F.col("_before"), start)
         level = fetched.select(
-            "seed", (before + F.col("_n")).alias("ord"), F.lit(depth).cast("bigint").alias("depth"),
+            "seed", (start + F.col("_n")).alias("ord"), F.lit(depth).cast("bigint").alias("depth"),
             "url", "page_id", "links",
         ).filter(F.col("ord") <= max_pages)
-        level = cut_lineage(level)
-        pages = level.drop("links")
-        walk = pages if walk is None else walk.unionByName(pages)
+        level, name = bucketed(level, ["seed", "url"])
+        levels.append((level, name))
         if depth == max_depth:
             break
+        before = reduce(DataFrame.unionByName, [rows.select("seed") for rows, _ in levels]).groupBy("seed").agg(
+            F.count(F.lit(1)).alias("_before"))
         # a seed that has all its pages is done
         full = level.filter(F.col("ord") == max_pages).select("seed")
         level = level.join(full, "seed", "left_anti")
@@ -120,4 +136,5 @@ def crawl_frontier(
             .agg(F.min(F.struct("parent", F.col("pos").cast("bigint").alias("pos"))).alias("_at"))
             .select("seed", "url", "_at.parent", "_at.pos")
         )
-    return walk
+    spark.sql(f"DROP TABLE IF EXISTS {links_name}")
+    return reduce(DataFrame.unionByName, [unbucketed(spark, name).drop("links") for _, name in levels])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_counts
+from ..functions.text import exploded, keyword_counts
 from .tfidf import tfidf_by_group
 
 # Scores are rounded before they are ranked, so that equal sums stay equal.
@@ -59,8 +59,7 @@ def word_counts(
 
     A page counts its own words first, so one row per page and word is shuffled.
     """
-    counts = F.explode(keyword_counts(F.col(text_col), min_chars, skip_prefixes))
-    rows = df.select(group, order_col, counts.alias("_count"))
+    rows = exploded(df, [group, order_col], keyword_counts(F.col(text_col), min_chars, skip_prefixes), "_count")
     return rows.groupBy(group, F.col("_count.word").alias("word")).agg(
         F.sum("_count.n").alias("n"), F.min(F.struct(order_col, "_count.pos")).alias("first_seen")
     )

@@ -28,6 +28,10 @@ _WORDS = {
     -0.6: "annoying bad boring broken confusing disappointed frustrating overwhelming pain poor sad unhappy useless worse wrong",
     -1.0: "awful disgusting dreadful horrible terrible worst",
 }
+# What a word right before does to the next polarity; our own few, as the list above.
+DEFAULT_INTENSIFIERS = {"extremely": 1.5, "very": 1.3, "really": 1.3, "so": 1.2, "quite": 1.1, "rather": 0.9, "fairly": 0.9, "somewhat": 0.7, "slightly": 0.5}
+# Share of an intensifier's effect that is left after a plain word between it and the polar one.
+DAMPING = 0.5
 DEFAULT_LEXICON = {word: score for score, words_ in _WORDS.items() for word in words_.split()}
 
 
@@ -35,12 +39,23 @@ def polarity(
     text: Column,
     lexicon: Mapping[str, float] = DEFAULT_LEXICON,
     negators: Sequence[str] = DEFAULT_NEGATORS,
+    intensifiers: Mapping[str, float] | None = None,
+    reach: int = 0,
 ) -> Column:
     """Mean polarity of the lexicon words of a text, 0.0 without any.
 
     A negator right before a word multiplies its polarity by -0.5. The whole
     computation stays in the row: no shuffle, and usable on a stream.
+
+    With phrases in the lexicon (entries of several words), ``intensifiers`` or a ``reach``, the tokens
+    are read from left to right. The longest entry that begins at a token counts and its words are passed
+    over. Negators and intensifiers before it are in force: factors multiply, a negator gives -0.5, and the
+    product stays within -1 and 1. Up to ``reach`` other words may stand between; each leaves
+    ``DAMPING`` of what the intensifiers add or take. Another word more, or an entry, ends their force.
     """
+    if intensifiers or reach or any(" " in entry for entry in lexicon):
+        events = lambda tokens: _events(tokens, lexicon, negators, intensifiers or {})
+        return F.round(bind(bind(words(text), events), lambda found: _read(found, reach)), POLARITY_DIGITS)
     known = list(lexicon)
     scores = F.create_map(*[F.lit(item) for pair in lexicon.items() for item in pair])
 
@@ -68,6 +83,63 @@ def polarity(
     return F.round(bind(words(text), mean_of_hits), POLARITY_DIGITS)
 
 
+def _value_of(token: Column, values: Mapping[str, float]) -> Column:
+    """The value of a token, null for any other; the hash test comes first, the map is searched for hits only."""
+    if not values:
+        return F.lit(None).cast("double")
+    table = F.create_map(*[F.lit(float(item) if isinstance(item, (int, float)) else item) for pair in values.items() for item in pair])
+    return F.when(token.isin(list(values)), F.element_at(table, token))
+
+
+def _events(tokens: Column, lexicon: Mapping[str, float], negators: Sequence[str], intensifiers: Mapping[str, float]) -> Column:
+    """What each token begins or does: ``score`` and ``size`` of the longest entry, ``negates``, ``factor``.
+
+    The entries are a prefix tree of two levels: the first word leads to the sizes of the entries that
+    begin with it, and only then a run of that size is put together and looked up.
+    """
+    sizes: dict[int, dict[str, float]] = {}
+    for entry, score in lexicon.items():
+        sizes.setdefault(len(entry.split()), {})[" ".join(entry.split())] = score
+
+    def event(token: Column, i: Column) -> Column:
+        score, size = F.lit(None).cast("double"), F.lit(1)
+        for n, entries in sorted(sizes.items()):  # the longest is tried first, so it is wrapped last
+            if n == 1:
+                found = _value_of(token, entries)
+            else:
+                run = F.array_join(F.slice(tokens, i + 1, n), " ")
+                found = F.when(token.isin(sorted({e.split()[0] for e in entries})), _value_of(run, entries))
+            score, size = F.coalesce(found, score), F.when(found.isNotNull(), F.lit(n)).otherwise(size)
+        return F.struct(
+            score.alias("score"), size.alias("size"), token.isin(list(negators)).alias("negates"),
+            _value_of(token, intensifiers).alias("factor"))
+
+    return F.transform(tokens, event)
+
+
+def _read(events: Column, reach: int) -> Column:
+    """Mean polarity by a left-to-right state over the events."""
+    def state(skip, factor, sign, gap, total, n) -> Column:
+        return F.struct(
+            skip.cast("int").alias("skip"), factor.cast("double").alias("factor"), sign.cast("double").alias("sign"),
+            gap.cast("int").alias("gap"), total.cast("double").alias("total"), n.cast("int").alias("n"))
+
+    def step(s: Column, e: Column) -> Column:
+        scored = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), e["score"] * s["factor"] * s["sign"]))
+        one, none = F.lit(1.0), F.lit(0)
+        return (
+            F.when(s["skip"] > 0, state(s["skip"] - 1, s["factor"], s["sign"], s["gap"], s["total"], s["n"]))
+            .when(e["score"].isNotNull(), state(e["size"] - 1, one, one, none, s["total"] + scored, s["n"] + 1))
+            .when(e["negates"], state(none, s["factor"], F.lit(NEGATED), none, s["total"], s["n"]))
+            .when(e["factor"].isNotNull(), state(none, s["factor"] * e["factor"], s["sign"], none, s["total"], s["n"]))
+            .when(s["gap"] < reach, state(none, 1 + (s["factor"] - 1) * DAMPING, s["sign"], s["gap"] + 1, s["total"], s["n"]))
+            .otherwise(state(none, one, one, none, s["total"], s["n"]))
+        )
+
+    start = state(F.lit(0), F.lit(1.0), F.lit(1.0), F.lit(0), F.lit(0.0), F.lit(0))
+    return F.aggregate(events, start, step, lambda s: F.when(s["n"] > 0, s["total"] / s["n"]).otherwise(0.0))
+
+
 def sentiment_label(score: Column) -> Column:
     """Positive above 0.1, Negative below -0.1, else Neutral; both bounds exclusive."""
     return (
@@ -80,9 +152,11 @@ def with_sentiment(
     text_col: str = "response",
     lexicon: Mapping[str, float] = DEFAULT_LEXICON,
     negators: Sequence[str] = DEFAULT_NEGATORS,
+    intensifiers: Mapping[str, float] | None = None,
+    reach: int = 0,
 ) -> DataFrame:
     """Add ``polarity`` and ``sentiment``."""
-    scored = df.withColumn("polarity", polarity(F.col(text_col), lexicon, negators))
+    scored = df.withColumn("polarity", polarity(F.col(text_col), lexicon, negators, intensifiers, reach))
     return scored.withColumn("sentiment", sentiment_label(F.col("polarity")))
 
 

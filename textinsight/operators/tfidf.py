@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, bind, term_counts, terms, unigrams_and_bigrams
-from ..session import BROADCAST_ROWS, cut_lineage, is_small, lookup_join
+from ..functions.text import bigrams, bind, exploded, term_counts, terms, unigrams_and_bigrams
+from ..session import BROADCAST_ROWS, cut_lineage, is_small, lookup_join, written
 
 # A term is hot when it holds at least this share of all (document, term) pairs,
 # so there are at most 1 / share hot terms whatever the corpus.
 HOT_SHARE = 0.001
 HOT_SALTS = 64
+COUNTS = "array<struct<term:string,tf:bigint>>"
 
 
 def default_stop_words(spark: SparkSession, language: str = "english") -> list[str]:
@@ -37,7 +41,7 @@ def term_frequencies(
     tokens = terms(F.col(text_col), stop_words)
     if with_bigrams:
         tokens = unigrams_and_bigrams(tokens)
-    counted = df.select(*key_cols, F.explode(term_counts(tokens)).alias("_count"))
+    counted = exploded(df, key_cols, term_counts(tokens), "_count")
     return counted.select(*key_cols, "_count.term", "_count.tf")
 
 
@@ -79,10 +83,91 @@ def term_join(
     return left.drop("_hot").join(right.drop("_hot"), ["term", "_salt"]).drop("_salt")
 
 
-def l2_normalised(weights: DataFrame, doc_cols: Sequence[str], weight: str = "weight") -> DataFrame:
-    """Divide by the row norm. A window holds one document, which was one row."""
-    norm = F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(*doc_cols)))
-    return weights.withColumn(weight, F.col(weight) / norm)
+def term_dictionary(counts: DataFrame, n_docs: Column, numbered: bool = True) -> DataFrame:
+    """``(term, term_id, df, idf)`` of ``counts(id, counts)``; ids are dense from 0.
+
+    Every partition of the counted terms numbers its own; the numbers are shifted by the sizes of the
+    partitions before, one row each. ``numbered=False`` leaves the ids null.
+    """
+    rows = exploded(counts, [], F.col("counts.term"), "term")
+    totals = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a document has a term once
+    placed = written(totals.withColumn("_at", F.monotonically_increasing_id()))
+    weight = idf(n_docs, F.col("df")).alias("idf")
+    if not numbered:
+        return placed.select("term", F.lit(None).cast("bigint").alias("term_id"), "df", weight)
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(cut_lineage(starts)), "_part").select(
+        "term", (F.col("_start") + inside).alias("term_id"), "df", weight)
+
+
+def _document_counts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str]) -> DataFrame:
+    return df.select(id_col, F.coalesce(term_counts(terms(F.col(text_col), stop_words)), F.array().cast(COUNTS)).alias("counts"))
+
+
+def _looked_up(counts: DataFrame, dictionary: DataFrame, id_col: str) -> DataFrame:
+    """``(id, terms, tfs, term_ids, weights)`` with the dictionary at hand in every task."""
+    known = dictionary.select("term", "term_id", "idf").toArrow()  # bounded by the caller's check
+    shared = counts.sparkSession.sparkContext.broadcast(
+        (known.column("term").combine_chunks(), known.column("term_id").fill_null(0).to_numpy(), known.column("idf").to_numpy()))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers, factors = shared.value
+        for batch in batches:
+            word, tf = (batch.column(i) for i in (1, 2))
+            at = pc.index_in(word.values.cast(words.type), value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
+            weight = tf.values.to_numpy(zero_copy_only=False) * factors[at]
+            size = np.diff(word.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            weight /= np.sqrt(np.bincount(row, weight * weight, len(size)))[row]
+            columns = [pa.ListArray.from_arrays(word.offsets, pa.array(x)) for x in (numbers[at].astype(np.int64), weight)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[id_col, "terms", "tfs", "term_ids", "weights"])
+
+    kind = counts.schema[id_col].dataType.simpleString()
+    shape = f"`{id_col}` {kind}, terms array<string>, tfs array<bigint>, term_ids array<bigint>, weights array<double>"
+    split = counts.select(id_col, F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tfs"))
+    return split.mapInArrow(look_up, shape)
+
+
+def _joined(counts: DataFrame, dictionary: DataFrame, id_col: str, max_rows: int, with_terms: bool) -> DataFrame:
+    """The same by joins: terms meet the dictionary, then one row a document is put together again."""
+    totals = dictionary.agg(F.sum("df").alias("pairs"))
+    hot = dictionary.filter(F.col("df") >= HOT_SHARE * totals.scalar()).select("term")
+    rows = exploded(counts, [id_col], F.col("counts"), "_count").select(id_col, "_count.term", "_count.tf")
+    met = term_join(rows, dictionary.select("term", "term_id", "idf"), hot, F.col(id_col), max_rows)
+    names = [*(["term"] if with_terms else []), "term_id", "tf"]
+    entry = F.struct(*names, (F.col("tf") * F.col("idf")).alias("weight"))
+    entries = met.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    norm = F.sqrt(F.aggregate("_entries", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]))
+    some = entries.withColumn("_norm", norm).select(
+        id_col, *([F.col("_entries.term").alias("terms")] if with_terms else []), F.col("_entries.tf").alias("tfs"),
+        F.col("_entries.term_id").alias("term_ids"), F.transform("_entries", lambda e: e["weight"] / F.col("_norm")).alias("weights"))
+    empty = [F.array().cast(some.schema[c].dataType).alias(c) for c in some.columns[1:]]
+    return some.unionByName(counts.filter(F.size("counts") == 0).select(id_col, *empty))
+
+
+def tfidf_vectors(
+    df: DataFrame, id_col: str = "response_id", text_col: str = "response", stop_words: Sequence[str] | None = None,
+    max_rows: int = BROADCAST_ROWS, with_terms: bool = False, numbered: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """One sparse row per answer, ``(id, tfs, term_ids, weights)``, and the ``(term, term_id, df, idf)`` they refer to.
+
+    Weights are worked out and brought to norm 1 in the row. A dictionary that may be broadcast is
+    looked up where the answer is read, without any shuffle; beyond that the terms join it, hot ones
+    salted, and a row is put together again from numbers. An answer without terms, or a null one, has
+    empty arrays. ``id`` is unique. ``with_terms`` adds the words themselves, for which the term ids
+    need not be ``numbered``.
+    """
+    stop_words = resolve_stop_words(df.sparkSession, stop_words)
+    counts = _document_counts(df, id_col, text_col, stop_words)
+    dictionary = term_dictionary(counts, df.agg(F.count(F.lit(1)).alias("n")).scalar(), numbered)
+    if is_small(dictionary, max_rows):
+        rows = _looked_up(counts, dictionary, id_col)
+    else:
+        rows = _joined(counts, dictionary, id_col, max_rows, with_terms)
+    return rows.select(id_col, *(["terms"] if with_terms else []), "tfs", "term_ids", "weights"), dictionary
 
 
 def tfidf(
@@ -91,16 +176,11 @@ def tfidf(
 ) -> DataFrame:
     """Unigram TF-IDF over all answers: ``(id, term, tf, weight)``, rows of norm 1.
 
-    Answers without terms have no rows.
+    The long form of ``tfidf_vectors``. Answers without terms have no rows.
     """
-    stop_words = resolve_stop_words(df.sparkSession, stop_words)
-    frequencies = term_frequencies(df, [id_col], text_col, stop_words)
-    dictionary = cut_lineage(doc_frequency(frequencies))
-    n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    weighted = dictionary.select("term", idf(n_docs, F.col("df")).alias("_idf"))
-    joined = term_join(frequencies, weighted, hot_terms(dictionary), F.col(id_col), max_rows)
-    weights = joined.select(id_col, "term", "tf", (F.col("tf") * F.col("_idf")).alias("weight"))
-    return l2_normalised(weights, [id_col])
+    rows, _ = tfidf_vectors(df, id_col, text_col, stop_words, max_rows, with_terms=True, numbered=False)
+    entries = F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"), F.col("weights").alias("weight"))
+    return exploded(rows, [id_col], entries, "_entry").select(id_col, "_entry.term", "_entry.tf", "_entry.weight")
 
 
 def limit_vocabulary(totals: DataFrame, group_cols: Sequence[str], max_features: int, count: str = "n") -> DataFrame:
@@ -124,9 +204,7 @@ def group_candidates(
     What is left is a part of the text and is read several times, so it is written out once.
     """
     tokens = terms(F.col(text_col), stop_words)
-    totals = (
-        df.select(group, F.explode(tokens).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
-    )
+    totals = exploded(df, [group], tokens, "term").groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
     listed = limit_vocabulary(totals, [group], max_features)
     lists = listed.groupBy(group).agg(F.collect_list("term").alias("_words"))
 
@@ -181,9 +259,7 @@ def tfidf_by_group(
         return F.struct(count["term"].alias("term"), count["tf"].alias("tf"), weight.alias("weight"))
 
     kept = F.filter(F.transform(F.col("counts"), weighted), lambda entry: entry["weight"].isNotNull())
-    rows = lookup_join(candidates, maps, [group], id_col).select(
-        group, id_col, F.explode(bind(kept, _unit_length)).alias("_row")
-    )
+    rows = exploded(lookup_join(candidates, maps, [group], id_col), [group, id_col], bind(kept, _unit_length), "_row")
     return rows.select(group, id_col, "_row.term", "_row.tf", "_row.weight")
 
 

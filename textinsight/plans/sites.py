@@ -25,21 +25,24 @@ def profile_sites(seeds: DataFrame, pages: DataFrame, max_depth: int = 2, max_pa
 
 def summarize_sites(
     seeds: DataFrame, pages: DataFrame, make_client: Callable, max_depth: int = 2, max_pages: int = 10,
-    parallelism: int | None = None,
+    parallelism: int | None = None, **sending,
 ) -> DataFrame:
-    """``(seed, summary, error)`` of every seed: walk, profile, prompt, completion."""
+    """``(seed, summary, error)`` of every seed: walk, profile, prompt, completion.
+
+    ``sending`` are further options of ``complete``, such as a ledger.
+    """
     messages = site_messages(profile_sites(seeds, pages, max_depth, max_pages))
-    replies = complete(messages, make_client, parallelism=parallelism)
+    replies = complete(messages, make_client, parallelism=parallelism, **sending)
     return cut_lineage(replies).select("seed", F.col("reply").alias("summary"), "error")
 
 
 def compare_sites(
     pairs: DataFrame, pages: DataFrame, make_client: Callable, max_depth: int = 2, max_pages: int = 10,
-    parallelism: int | None = None,
+    parallelism: int | None = None, **sending,
 ) -> DataFrame:
     """``site_report_lines`` of every ``(pair_id, seed_a, seed_b)``; no pair is left out."""
     seeds = pairs.select(F.col("seed_a").alias("seed")).union(pairs.select("seed_b")).distinct()
-    paired = pair_sites(pairs, summarize_sites(seeds, pages, make_client, max_depth, max_pages, parallelism))
-    replies = complete(comparison_messages(paired), make_client, parallelism=parallelism)
+    paired = pair_sites(pairs, summarize_sites(seeds, pages, make_client, max_depth, max_pages, parallelism, **sending))
+    replies = complete(comparison_messages(paired), make_client, parallelism=parallelism, **sending)
     comparisons = cut_lineage(replies).select("pair_id", F.col("reply").alias("comparison"), "error")
     return site_report_lines(paired, comparisons)

@@ -16,7 +16,7 @@ from ..operators.keywords import cluster_keywords
 from ..operators.kmeans import kmeans_cluster
 from ..operators.prompts import cluster_messages
 from ..operators.report import build_report
-from ..operators.sentiment import DEFAULT_LEXICON, DEFAULT_NEGATORS, with_sentiment
+from ..operators.sentiment import DEFAULT_INTENSIFIERS, DEFAULT_LEXICON, DEFAULT_NEGATORS, with_sentiment
 from ..session import cut_lineage
 from ..sources.responses import drop_null_responses
 
@@ -36,7 +36,7 @@ class SurveyInsight:
 def summarize_clusters(
     df: DataFrame, survey_name: str, question: str, make_client: Callable, group: str = "cluster",
     id_col: str = "response_id", text_col: str = "response", part_chars: int = PART_CHARS,
-    parallelism: int | None = None,
+    parallelism: int | None = None, **sending,
 ) -> DataFrame:
     """``(cluster, parsed, error)``: one insight per cluster, null being one, over all of its answers.
 
@@ -45,14 +45,15 @@ def summarize_clusters(
     answers of one completion of the next round, until one finding is left. A part whose completion
     failed is left out of the merge, and ``error`` has the failures of the cluster, how many there
     were and the first of them; ``retry_failed`` can ask failed rows again. A cluster without any
-    finding has the fallback insight.
+    finding has the fallback insight. ``sending`` are further options of ``complete``, such as a ledger.
     """
     groups = group_responses(df.select(group, id_col, text_col), group, id_col, text_col, part_chars)
     finished, failures = None, None
     while True:
         groups = cut_lineage(groups)
         replies = complete(
-            cluster_messages(groups, survey_name, question, group), make_client, TEMPERATURE, parallelism=parallelism
+            cluster_messages(groups, survey_name, question, group), make_client, TEMPERATURE, parallelism=parallelism,
+            **sending,
         )
         # completions are paid for once, then read from the checkpoint
         parsed = cut_lineage(replies.select(
@@ -87,12 +88,17 @@ def analyze_survey(
     lexicon: Mapping[str, float] = DEFAULT_LEXICON,
     negators: Sequence[str] = DEFAULT_NEGATORS,
     part_chars: int = PART_CHARS,
+    intensifiers: Mapping[str, float] = DEFAULT_INTENSIFIERS,
+    **sending,
 ) -> SurveyInsight:
-    """Cluster, score, rank keywords, summarise and report ``(response_id, response)`` rows."""
+    """Cluster, score, rank keywords, summarise and report ``(response_id, response)`` rows.
+
+    ``sending`` are further options of ``complete``, such as a ledger.
+    """
     responses = drop_null_responses(responses, "response")
     # three branches read the clustered answers
     clustered = cut_lineage(with_sentiment(kmeans_cluster(responses, k, seed, stop_words=stop_words),
-                                           lexicon=lexicon, negators=negators))
+                                           lexicon=lexicon, negators=negators, intensifiers=intensifiers, reach=1))
     keywords = cluster_keywords(clustered, top_n=max_keywords, stop_words=stop_words)
-    insights = summarize_clusters(clustered, survey_name, question, make_client, part_chars=part_chars)
+    insights = summarize_clusters(clustered, survey_name, question, make_client, part_chars=part_chars, **sending)
     return SurveyInsight(clustered, keywords, insights, build_report(insights, keywords))

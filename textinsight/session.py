@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Tasks one key of a shuffled lookup is spread over.
 SALTS = 16
-# Inputs with less than this per core are spread over the cores first.
-SPREAD_BYTES = 64 * 1024 * 1024
+# Inputs of fewer splits than cores are spread over the cores first, up to this size.
+SPREAD_BYTES = 512 * 1024 * 1024
 
 
 def build_session(app_name: str = "textinsight", master: str | None = None, **conf) -> SparkSession:
@@ -38,11 +39,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small input at least one partition per core.
 
     A file cannot be split below its row groups, so a small table may come as one
-    task. A table that already has a partition per core is left as it is: no
-    shuffle of a large input.
+    task. A table of more than ``SPREAD_BYTES``, or one that already has a partition per core, is
+    left as it is: no shuffle of a large input, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if _scan_bytes(df) > cores * SPREAD_BYTES else df.repartition(cores, key)
+    if _scan_bytes(df) > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
 
 
 def _scan_bytes(df: DataFrame) -> int:
@@ -76,6 +79,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a table and read it back, so that later filters skip parts of it.
+
+    The files go when the driver's file system client closes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], placed: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table bucketed by ``keys`` and return it with its name in the catalog.
+
+    Joins and groupings on the keys then read it as it lies, without a shuffle. There are as many
+    buckets as shuffle partitions, and each is one file: rows are dealt out by the keys first, unless
+    they are ``placed`` that way by a grouping. ``unbucketed`` takes the name out of the catalog.
+    """
+    spark = df.sparkSession
+    name = f"textinsight_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df if placed else df.repartition(buckets, *keys)
+    rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    _delete_on_exit(spark, path)
+    return spark.table(name), name
+
+
+def unbucketed(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of a table that ``bucketed`` wrote, read from its files; the catalog forgets it."""
+    path = f"{shared_folder(spark)}/{name}"
+    schema = spark.table(name).schema
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.read.schema(schema).parquet(path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table may be broadcast. It is counted and measured, so cut its lineage first."""
     if df.count() > max_rows:
