@@ -27,10 +27,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates. A document without id stays."""
-    groups = near_duplicates(docs)
-    gone = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_side(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One document of every group of near duplicates: of the smallest id, null last.
+
+    A document is its id and its text, so texts that share an id are told apart, and of rows that agree in both
+    one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    groups = materialize(near_duplicates(docs.withColumn("_key", key), "_key").select("_key", "component_id"))
+    first = F.col("_key").eqNullSafe(F.col("component_id"))
+    gone = materialize(groups.filter(~first).select("_key.id", "_key.text_hash").distinct())
+    same = docs["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(docs["text"]) == F.col("text_hash"))
+    kept = docs.join(small_side(gone), same, "left_anti")
+    twice = groups.filter(first).groupBy("_key.id", "_key.text_hash").count().filter("count > 1").drop("count")
+    twice = materialize(twice)
+    if twice.isEmpty():
+        return kept
+    again = kept.join(small_side(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small_side(twice), same, "left_anti").unionByName(again)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
