@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
+import random
 import re
 import zlib
 
@@ -16,7 +18,7 @@ import corpus_pipeline
 from textinsight.llm import bytegrams, components, language_id, lm_scoring, pii, simhash
 from textinsight.llm import queries as Q
 from textinsight.llm.common import global_rank
-from textinsight.llm.decontamination import contaminated
+from textinsight.llm.decontamination import canonical_tokens, contaminated
 from textinsight.llm.exact_dedup import exact_duplicates
 from textinsight.llm.html_text import extract_pages, main_text
 from textinsight.llm.license_scan import license_scan
@@ -388,50 +390,70 @@ def test_word_scores(spark, rows):
             assert r.score < 0 and r.bits_per_byte > 0
 
 
-def weighted(counts, context, bit):
-    """Recursive context-tree weighting over the same nodes, one decision at a time."""
+def weighted(counts, gram):
+    """Log10 probability of a byte after its context: recursive weighting over all contexts, one decision at a time."""
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
-    def node(d, suffix):
-        a, b = (sum(n for (c, x), n in counts.items() if c[4 - d :] == suffix and x == y) for y in (0, 1))
-        children = {c[3 - d :] for c, _ in counts if c[4 - d :] == suffix} if d < 4 else set()
-        own = kt(a, b)
-        if not children:
-            return own, own, a, b, children
-        split = sum(node(d + 1, k)[0] for k in children)
-        return np.logaddexp(own, split) - math.log(2), own - split, a, b, children
-
-    def predict(d, suffix):
-        _, weight, a, b, children = node(d, suffix)
-        own = (b + 0.5) / (a + b + 1)
-        deeper = context[3 - d :]
-        if not children or deeper not in children:
-            return own
-        w = math.exp(weight)
-        return (w * own + predict(d + 1, deeper)) / (w + 1)
-
-    p = predict(0, b"")
-    return p if bit else 1 - p
-
-
-def test_context_tree_against_recursion():
-    text = b"\0\0\0\0" + b"\x00\x80\x80\x00\x80\x00\x80\x80\x00\x00\x80\x80\x00\x80"  # only the first decision varies
-    grams = collections.Counter((text[i - 4 : i], text[i]) for i in range(4, len(text)))
-    levels = []
-    for d in range(5):
-        level = collections.Counter()
-        for (c, x), n in grams.items():
-            level[int.from_bytes(c[4 - d :] + bytes([x]), "big")] += n
-        levels.append((np.array(list(level), np.uint64), np.array(list(level.values()))))
-    tree = lm_scoring.ContextTree(levels)
-    counts = {(c, x >> 7): n for (c, x), n in grams.items()}
-    total = np.array([[int.from_bytes(c + bytes([x]), "big") for x in range(256)] for c, _ in grams], np.uint64)
-    logs = tree.score(total.ravel()).reshape(total.shape).astype(float)
-    assert (10**logs).sum(axis=1) == pytest.approx(1, abs=1e-4)
-    high = (10 ** logs[:, 128:]).sum(axis=1)
-    assert high == pytest.approx([weighted(counts, c, 1) for c, _ in grams], abs=1e-4)
-    assert (10 ** tree.score(np.array([[x] for x in range(256)], np.uint64).ravel() | np.uint64(0x7A7A7A7A00)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    def seen(suffix, prefix, j):
+        """Zeros and ones of decision j of the bytes that begin with these bits, after contexts that end so."""
+        out = [0, 0]
+        for (c, x), n in counts.items():
+            if c.endswith(suffix) and x >> (8 - j) == prefix:
+                out[x >> (7 - j) & 1] += n
+        return out
+
+    def node(suffix, prefix, j):
+        a, b = seen(suffix, prefix, j)
+        own = kt(a, b) if a + b else 0.0
+        if len(suffix) == 4 or not a + b:
+            return own, own
+        children = {c[3 - len(suffix) :] for c, _ in counts if c.endswith(suffix)}
+        split = sum(node(child, prefix, j)[0] for child in children)
+        return np.logaddexp(own, split) - math.log(2), own - split
+
+    context, byte = gram
+    total = 0.0
+    for j in range(8):
+        prefix, bit = byte >> (8 - j), byte >> (7 - j) & 1
+        guess = None
+        for depth in range(4, -1, -1):
+            suffix = context[4 - depth :]
+            a, b = seen(suffix, prefix, j)
+            if a + b:
+                own = (b + 0.5) / (a + b + 1)
+                w = math.exp(node(suffix, prefix, j)[1])
+                guess = own if guess is None else (w * own + guess) / (w + 1)
+        p = 0.5 if guess is None else guess if bit else 1 - guess
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("rows", [1 << 17, 5])
+def test_code_lengths_equal_the_recursion(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "_ROWS", rows)
+    draw = random.Random(4)
+    train = ["".join(draw.choices("abé", k=draw.randint(0, 30))) for _ in range(12)]
+    held = ["".join(draw.choices("abzé", k=draw.randint(0, 12))) for _ in range(4)] + [None]
+    split = lambda t: [(b[i - 4 : i], b[i]) for b in [b"\0\0\0\0" + (t or "").encode() + b"\0"] for i in range(4, len(b))]
+    counts = collections.Counter(g for t in train for g in split(t))
+    docs = spark.createDataFrame([(t, True) for t in train] + [(t, False) for t in held], "text string, learn boolean")
+    grams = lm_scoring.gram_counts(docs)
+    got = {(r.gram >> 8).to_bytes(4, "big") + bytes([r.gram & 255]): r for r in lm_scoring.code_lengths(grams).collect()}
+    want = {g for t in [*train, *held] for g in split(t)}
+    assert set(got) == {c + bytes([x]) for c, x in want}
+    for c, x in want:
+        r = got[c + bytes([x])]
+        assert r.n == counts[c, x] and r.cost == pytest.approx(weighted(counts, (c, x)), abs=1e-9)
+    # the probabilities of all bytes after a context add up to one
+    every = spark.createDataFrame([(int.from_bytes(c, "big") << 8 | x, counts[c, x]) for c in {c for c, _ in want} for x in range(256)], "gram long, n long")
+    sums = collections.Counter()
+    for r in lm_scoring.code_lengths(every).collect():
+        sums[r.gram >> 8] += 10**r.cost
+    assert list(sums.values()) == pytest.approx([1] * len(sums))
+    for few in (10, 1 << 20):  # the first looks nearly all grams up by shuffle
+        scored = lm_scoring.score_documents(docs.withColumn("doc_id", F.monotonically_increasing_id()), F.col("learn"), frequent_grams=few).collect()
+        assert sorted(r.score for r in scored) == pytest.approx(sorted(sum(got[c + bytes([x])].cost for c, x in split(t)) for t in [*train, *held]))
 
 
 def test_language_model_edges(edges, nothing):
@@ -522,6 +544,114 @@ def test_number_series_and_edited_figures(spark):
     assert {(r.doc_id, r.item_id): r.place for r in got}[2, 1] == 400
 
 
+RECASED = [
+    (1, ITEMS[0][1].lower()), (2, ITEMS[0][1].upper()), (3, ITEMS[0][1].replace(" Tom", "\n Tom").replace(" Ann", "  Ann").replace(" ", " \t")),
+    (4, "So: WHAT is\n2+2 ? Nobody knows."), (5, "What is 2+3?"), (6, "the four   word ITEM, it is"), (7, "the four words item"), (8, "Yes, yes."),
+]
+SHORT = [ITEMS[0], (2, "What is 2+2?"), (3, "The four word item"), (4, "Yes")]
+
+
+@pytest.mark.parametrize("max_windows", [500_000, 0])
+def test_recased_respaced_and_short_items(spark, max_windows):
+    frames = [spark.createDataFrame(r, f"{i} long, text string") for r, i in ((RECASED, "doc_id"), (SHORT, "item_id"))]
+    got = contaminated(*frames, max_windows=max_windows).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(1, 1, True), (2, 1, True), (3, 1, True), (4, 2, True), (6, 3, True)]
+
+
+def test_number_tables_do_not_meet_in_all_pairs(spark):
+    draw = random.Random(7)
+    numbers = lambda n: ", ".join(str(draw.randrange(1000)) for _ in range(n))
+    apart = lambda n: ", ".join(map(str, draw.sample(range(10_000), n)))
+    table = numbers(1000)
+    items = [(1, table), (2, "Sum up these numbers please: " + apart(300)), (3, ", ".join(["0"] * 60))]
+    texts = [(1, numbers(20_000)), (2, numbers(20_000) + ", " + table), (3, ", ".join(["0"] * 3000)),
+             (4, "Sum up these numbers please: " + apart(300)), (5, "Sum up these numbers please: 1, 2, 3"), (6, "Sum up these numbers please: " + numbers(100))]
+    got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.exact) for r in got} == {(2, 1, True), (3, 3, True), (4, 2, False)}
+    assert {r.doc_id: r.place for r in got}[2] == 20_000
+
+
+def held_items(texts, items, window=5, coverage=0.5, slack=3):
+    """Which documents hold which items, by looking at every pair of windows."""
+    mark = re.compile("[\x01-\x03]")
+    plain = lambda tokens: [mark.sub("", t) for t in tokens]
+    shape = lambda tokens: [t[0] if mark.match(t) else t for t in tokens]
+    found = set()
+    for (d, doc), (i, item) in itertools.product(texts, items):
+        size = min(window, len(item))
+        if size < 2:
+            continue
+        starts = range(len(item) - size + 1)
+        whole = coverage * len(starts)
+        same = [(at - j, j) for at in range(len(doc) - size + 1) for j in starts if plain(doc[at : at + size]) == plain(item[j : j + size])]
+        if any(len({j for _, j in run}) >= whole for run in runs_of(same, slack)):
+            found.add((d, i))
+        if size < window:
+            continue
+        worded = [any(not mark.match(t) for t in item[j : j + size]) for j in starts]
+        like = [(at - j, j) for at in range(len(doc) - size + 1) for j in starts if worded[j] and shape(doc[at : at + size]) == shape(item[j : j + size])]
+        ahead = {a for a, _ in like}
+        like += [(a, j) for a in ahead for j in starts if not worded[j] and 0 <= a + j <= len(doc) - size and shape(doc[a + j : a + j + size]) == shape(item[j : j + size])]
+        for run in runs_of(like, slack):
+            for part in [run, *([x for x in run if x[0] == a] for a in {a for a, _ in run})]:
+                if fits(doc, item, part, run, size, whole, worded, mark):
+                    found.add((d, i))
+    return found
+
+
+def runs_of(hits, slack):
+    out = []
+    for hit in sorted(hits):
+        if out and hit[0] - out[-1][-1][0] <= slack:
+            out[-1].append(hit)
+        else:
+            out.append([hit])
+    return out
+
+
+def fits(doc, item, part, run, size, whole, worded, mark):
+    def stretch(a, j):
+        there = {x for x in run if x[0] == a}
+        low = high = j
+        while (a, low - 1) in there:
+            low -= 1
+        while (a, high + 1) in there:
+            high += 1
+        return high - low + 1
+
+    equal = lambda a, j: all(x == y for x, y in zip(doc[a + j : a + j + size], item[j : j + size]) if mark.match(y))
+    best = {}
+    for a, j in sorted(part, key=lambda x: (x[1], not equal(*x), -stretch(*x), x[0])):
+        best.setdefault(j, a)
+    slots = {(j + k, item[j + k], doc[a + j + k]) for j, a in best.items() for k in range(size) if mark.match(item[j + k])}
+    edited = sum(x != y for _, x, y in slots)
+    among = collections.Counter(x for _, x, _ in slots)
+    astray = sum(1 for _, x, y in slots if 2 * sum(s[1:] == (x, y) for s in slots) <= among[x])
+    return len(best) >= whole and any(worded[j] for j in best) and (2 * edited < len(slots) or 4 * astray <= len(slots))
+
+
+def test_contaminated_equals_all_pairs_of_windows(spark):
+    draw = random.Random(11)
+    vocabulary = ["red", "blue", "hill", "runs", "Tom", "Ann", "3", "4", "12", "km", "kg", "of"]
+    make = lambda n: draw.choices(vocabulary, k=n)
+    items = [(i, make(draw.choice([1, 2, 3, 4, 6, 9, 14]))) for i in range(25)]
+    texts = []
+    for d in range(60):
+        words = make(draw.randint(0, 12))
+        for _, item in draw.sample(items, 2):
+            swap = {w: draw.choice([w, w, "5", "7", "Eve", "Jim"]) for w in item}
+            copy = [swap[w] if w in {"3", "4", "12", "Tom", "Ann"} and d % 3 else w for w in item]
+            if copy and d % 4 == 0:
+                copy.insert(draw.randrange(len(copy)), "new")
+            words += copy + make(draw.randint(0, 3))
+        texts.append((d, words))
+    frames = [spark.createDataFrame([(i, "a " + " ".join(w)) for i, w in rows], f"{name} long, text string") for rows, name in ((texts, "doc_id"), (items, "item_id"))]
+    tokens = lambda df: [(r[0], list(r[1])) for r in df.select(df.columns[0], canonical_tokens(F.col("text"))).collect()]
+    got = {(r.doc_id, r.item_id) for r in contaminated(*frames).collect()}
+    want = held_items(tokens(frames[0]), tokens(frames[1]))
+    assert got == want and len(want) > 30
+
+
 def test_planted_items_are_found(spark, rows):
     items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
@@ -555,6 +685,16 @@ def test_pipeline(spark, rows):
     check_shards(found, [by_id[r.doc_id][0] for r in found])
 
 
+def test_near_dedup_stage_keeps_texts_that_share_an_id(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    data = [(1, long), (1, long), (2, long), (2, "a text of its own, " * 9), (None, "another one altogether " * 9), (None, long), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_near_copies(spark, df, SF_DIR).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept if r.doc_id != 3) == [
+        (False, 1, long), (False, 2, data[3][1]), (True, 0, data[4][1])]
+    assert [r.doc_id for r in kept if not r.text] == [3]  # no text and an empty one are alike
+
+
 def test_pipeline_edges(spark, edges, nothing):
     for table in (edges, nothing):
         for _, stage in corpus_pipeline.STAGES:
