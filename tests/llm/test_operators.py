@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -145,6 +146,41 @@ def test_hidden_is_an_attribute_of_its_own():
         assert text not in main_text(page % gone), gone
 
 
+def test_articles_under_names_of_layouts():
+    texts = [f"Paragraph {i} of the article, which is long enough to count, with commas, and words." for i in range(6)]
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    for name in ("content sidebar-left", "container header-fixed", "hentry tag-python", "page menu-open", "main search-results", "entry social-policy"):
+        assert main_text(f'<body><p>A tagline of the site.</p><div class="{name}">{body}</div></body>').split("\n")[-6:] == texts, name
+    wrapped = "".join(f"<section><div><p>{t}</p></div></section>" for t in texts[:4])
+    assert main_text(f"<body><div>{wrapped}</div><footer>end</footer></body>").split("\n") == texts[:4]
+    two = f"<article><p>{texts[0]}</p></article><article><p>{texts[1]} {texts[2]}</p></article>"
+    assert main_text(f"<body><div>{two}</div></body>").split("\n") == [texts[0], f"{texts[1]} {texts[2]}"]
+    items = [f"Author {i}, the title of a work that was cited" for i in range(3)]
+    listed = "".join(f'<li><a href="/{i}">{t}</a></li>' for i, t in enumerate(items))
+    assert main_text(f"<body><article>{body}<ul>{listed}</ul></article></body>").split("\n") == texts + items
+    menu = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(5))
+    assert main_text(f"<body><article><ul>{menu}</ul>{body}</article></body>").split("\n") == texts
+    headed = f'<article><header><h1>The title</h1><span>By somebody</span></header>{body}</article>'
+    assert main_text(f"<body><header><h1>The site</h1></header>{headed}</body>").split("\n") == ["The title", *texts]
+    work = f'<section class="related-work"><h2>Related work</h2><p>{texts[5]}</p></section>'
+    assert main_text(f"<body><article>{body}{work}</article></body>").split("\n") == [*texts, "Related work", texts[5]]
+    for gone in ('<div class="related-posts"><a href="/a">One more post of this site to read</a> <a href="/b">Another post</a></div>',
+                 '<div class="newsletter"><p>Subscribe to our letter, now, it is free and comes each week.</p></div>',
+                 f'<div class="comments">{body * 3}</div>'):
+        assert main_text(f"<body><div>{body}{gone}</div></body>").split("\n") == texts, gone
+
+
+def test_unmatched_ends_take_linear_time():
+    def seconds(n):
+        page = "<div>" * 2000 + "</i>" * n + "<p>" + "text " * 20
+        start = time.perf_counter()
+        assert main_text(page) == ("text " * 20).strip()
+        return time.perf_counter() - start
+
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.02)
+    assert main_text("x " * 2_000_000) == ("x " * 2_000_000).strip()  # a very long text
+
+
 def test_pages_hold_their_article(spark):
     found = Q.op2_html_extraction(spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert found
