@@ -303,6 +303,37 @@ def test_mixture_meets_its_targets(spark):
     assert sum(len(r.text.split()) for r in first if r.source == "a") / plan["a"].quota == pytest.approx(0.5, abs=0.1)
 
 
+def exponent_of(tokens, target, repeats, top):
+    """The exponent by plain halving."""
+    shares = [t / sum(tokens) for t in tokens if t]
+
+    def at(x):
+        z = sum(p**x for p in shares)
+        w = [p**x / z for p in shares]
+        return -sum(v * math.log(v) for v in w), max(v / p for v, p in zip(w, shares))
+
+    def first(holds, low, high):
+        if holds(*at(low)):
+            return low
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if holds(*at(middle)) else (middle, high)
+        return high
+
+    x = first(lambda e, m: e < target * math.log(len(shares)), 0.0, top)
+    if x < 1:
+        return max(x, first(lambda e, m: m <= repeats, 0.0, 1.0))
+    return min(x, first(lambda e, m: m > repeats, 1.0, top)) if x > 1 else x
+
+
+@pytest.mark.parametrize("target, repeats, top", [(0.5, 9.0, 16.0), (0.5, 1.5, 16.0), (0.95, 9.0, 16.0), (0.999, 9.0, 16.0), (0.999, 1.1, 16.0), (0.2, 9.0, 3.0), (0.5, 9.0, 1.0)])
+def test_exponent_equals_plain_halving(spark, target, repeats, top):
+    tokens = {"a": 300, "b": 200, "c": 100}
+    table = spark.createDataFrame([(i, "w", s) for s, n in tokens.items() for i in range(n)], "doc_id long, text string, source string")
+    got = {r.exponent for r in plan_mixture(table, target_entropy=target, max_repeats=repeats, max_exponent=top).collect()}
+    assert len(got) == 1 and got.pop() == pytest.approx(exponent_of(tokens.values(), target, repeats, top), abs=1e-6)
+
+
 def test_mixing_edges(edges, nothing):
     assert mix_sources(edges).select("doc_id").distinct().count() > 5 and mix_sources(nothing).count() == 0
     assert set(mix_sources(edges).columns) == {*edges.columns, "mix_block", "mix_place"}

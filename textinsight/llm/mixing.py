@@ -12,6 +12,7 @@ from textinsight.session import small_side
 
 TARGET_ENTROPY = 0.95  # share of the entropy of equal weights
 MAX_REPEATS = 4.0
+MAX_EXPONENT = 16.0
 BUDGET_RATIO = 1.0  # tokens of the mixture against tokens there are
 SEED = 7
 _LEVELS = 5  # of the bisection, in one job
@@ -24,19 +25,24 @@ def _draw(seed: int, block: Column, id_col: Column, text_hash: Column) -> Column
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), block.cast("bigint"), id_col, text_hash), 4)
 
 
-def _bisect(shares: DataFrame, holds) -> float:
-    """Smallest exponent in 0 to 1 for which ``holds(entropy, most)``, which must hold from there on.
+def _bisect(shares: DataFrame, holds, start: float, end: float) -> float:
+    """Smallest exponent from ``start`` to ``end`` for which ``holds(entropy, most)``, which must hold from there on.
 
-    A job evaluates all exponents that the next halvings can ask for, over the table of sources.
+    ``end`` where it never holds. A job evaluates all exponents that the next halvings can ask for, over
+    the table of sources.
     """
-    low, high = -(1 << _LEVELS * _ROUNDS), 0  # in steps of 2**-30 below one
     scale = 1 << _LEVELS * _ROUNDS
+    low, high = 0, scale  # in steps of 2**-30 of the way
+
+    def exponent(at: int) -> float:
+        return start + (end - start) * (at / scale)
+
     for _ in range(_ROUNDS + 1):
         width = high - low
         if width <= 1:
             break
         asked = sorted({low} | {low + width * i // (1 << _LEVELS) for i in range(1, 1 << _LEVELS)})
-        table = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(1 + a / scale).alias("x")) for a in asked])
+        table = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(exponent(a)).alias("x")) for a in asked])
         power = F.exp(F.col("t.x") * F.ln("share"))
         found = shares.select("share", F.explode(table).alias("t")).groupBy("t.a").agg(
             F.sum(power).alias("z"), F.sum(power * F.col("t.x") * F.ln("share")).alias("s"),
@@ -44,25 +50,26 @@ def _bisect(shares: DataFrame, holds) -> float:
         ).collect()  # as many rows as exponents asked for
         good = {r["a"]: holds(math.log(r["z"]) - r["s"] / r["z"], r["m"] / r["z"]) for r in found}
         if good[low]:
-            return 1 + low / scale
+            return exponent(low)
         for _ in range(_LEVELS):
             middle = low + (high - low) // 2
             if high - low <= 1 or middle not in good:
                 break
             low, high = (low, middle) if good[middle] else (middle, high)
-    return 1 + high / scale
+    return exponent(high)
 
 
 def plan_mixture(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget_ratio: float = BUDGET_RATIO,
-    seed: int = SEED,
+    seed: int = SEED, max_exponent: float = MAX_EXPONENT,
 ) -> DataFrame:
     """One row per source: ``source, tokens, exponent, weight, quota, blocks, cutoff``.
 
-    A source with share p of all tokens gets the weight p**exponent, normalised. The exponent is
-    the largest of 0 to 1 at which the entropy of the weights reaches ``target_entropy`` of that of
-    equal weights, raised where needed until no source is repeated more than ``max_repeats`` times.
+    A source with share p of all tokens gets the weight p**exponent, normalised. The exponent is that
+    at which the entropy of the weights is ``target_entropy`` of that of equal weights: below 1 where
+    the sources are less even than that, above 1, up to ``max_exponent``, where they are more even.
+    It is moved towards 1 where needed until no source is repeated more than ``max_repeats`` times.
     With all weights at their own share and still too many repeats the budget is cut to what the
     limit allows. ``blocks`` whole permutations of the source fit into its quota of tokens; of the
     next one the documents drawn up to ``cutoff`` do.
@@ -81,8 +88,12 @@ def plan_mixture(
     if count > 1:
         goal = target_entropy * math.log(count)
         # Entropy falls as the exponent grows, so the halving looks for the first exponent below the goal.
-        flat = _bisect(shares, lambda entropy, most: entropy < goal)
-        exponent = max(flat, _bisect(shares, lambda entropy, most: most * min(budget_ratio, max_repeats) <= max_repeats))
+        exponent = _bisect(shares, lambda entropy, most: entropy < goal, 0.0, max_exponent)
+        ratio = min(budget_ratio, max_repeats)
+        if exponent < 1:
+            exponent = max(exponent, _bisect(shares, lambda entropy, most: most * ratio <= max_repeats, 0.0, 1.0))
+        elif exponent > 1:  # the largest sources are repeated most
+            exponent = min(exponent, _bisect(shares, lambda entropy, most: most * ratio > max_repeats, 1.0, max_exponent))
     weights = shares.withColumn("power", F.exp(F.lit(exponent) * F.ln("share")))
     z = weights.agg(F.sum("power")).first()[0] or 1.0
     quotas = weights.withColumn("weight", F.col("power") / z).withColumn(
@@ -118,7 +129,7 @@ def plan_mixture(
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget_ratio: float = BUDGET_RATIO,
-    seed: int = SEED,
+    seed: int = SEED, max_exponent: float = MAX_EXPONENT,
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it, with ``mix_block`` and ``mix_place``.
 
@@ -130,7 +141,7 @@ def mix_sources(
     A null source is a source. Null and blank texts have no tokens; a source of only such texts is
     taken once. Rows that agree in id and text are drawn together.
     """
-    plan = materialize(plan_mixture(docs, id_col, text_col, source_col, target_entropy, max_repeats, budget_ratio, seed))
+    plan = materialize(plan_mixture(docs, id_col, text_col, source_col, target_entropy, max_repeats, budget_ratio, seed, max_exponent))
     plan = small_side(plan.select(
         F.col("source").alias("_of"), F.col("blocks").alias("_blocks"), F.col("cutoff").alias("_cutoff"),
         F.greatest(F.col("quota") / F.greatest("tokens", F.lit(1)), F.lit(1e-9)).alias("_rounds")))
