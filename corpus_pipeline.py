@@ -55,8 +55,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
-    return mix_sources(docs).select(docs.columns)
+    """Documents as often as the mixture of sources takes them; sources that are even enough stay as they are."""
+    return mix_sources(docs, max_exponent=1.0).select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
