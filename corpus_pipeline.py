@@ -35,11 +35,11 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
     groups = materialize(near_duplicates(docs.withColumn("_key", key), "_key").select("_key", "component_id"))
     first = F.col("_key").eqNullSafe(F.col("component_id"))
-    gone = materialize(groups.filter(~first).select("_key.id", "_key.text_hash").distinct())
-    same = docs["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(docs["text"]) == F.col("text_hash"))
+    named = [F.col("_key.id").alias("_gone"), F.col("_key.text_hash").alias("_hash")]
+    gone = materialize(groups.filter(~first).select(*named).distinct())
+    same = docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
     kept = docs.join(small_side(gone), same, "left_anti")
-    twice = groups.filter(first).groupBy("_key.id", "_key.text_hash").count().filter("count > 1").drop("count")
-    twice = materialize(twice)
+    twice = materialize(groups.filter(first).groupBy(*named).count().filter("count > 1").drop("count"))
     if twice.isEmpty():
         return kept
     again = kept.join(small_side(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
