@@ -77,13 +77,12 @@ def test_vectors_take_no_window_and_no_shuffle_by_document(answers):
     assert "Window" not in plan and "hashpartitioning(response_id" not in plan
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 26, 0])
-@pytest.mark.parametrize("k", [1, 3, 6])
+@pytest.mark.parametrize("k, max_bytes", [(1, 1 << 26), (3, 1 << 26), (6, 1 << 26), (3, 0)])
 def test_bounded_rounds_equal_full_rounds(vectors, k, max_bytes):
     x = dense(vectors)
     starts = list(range(0, 5 * k, 5))
     looked = []
-    rounds = 300 if max_bytes else 4  # the path by tables takes several jobs a round
+    rounds = 300 if max_bytes else 3  # the path by tables takes several jobs a round
     got = kmeans.lloyd_vectors(
         vectors, kmeans.centroids_from_documents(vectors, starts), k, max_iter=rounds, max_bytes=max_bytes, looked=looked).collect()
     want, _ = lloyd(x, starts, rounds)
