@@ -71,6 +71,23 @@ def test_vectors_equal_a_plain_count(spark, answers, max_rows):
         assert {t: (w, n, round(v, 12)) for t, w, n, v in zip(r["term_ids"], r["terms"], r["tfs"], r["weights"])} == want
 
 
+def test_only_rare_terms_are_joined(spark, monkeypatch):
+    """A dictionary too large to broadcast: its common terms are looked up. Ids repeat or are null, rows stay apart."""
+    rows = [(i // 2 if i else None, f"sea sea wave w{i} " + ("car" if i % 3 else "w1")) for i in range(60)] + [(7, ""), (None, None)]
+    df = spark.createDataFrame(rows, "response_id long, response string")
+    met, join = [], tfidf.term_join
+    monkeypatch.setattr(tfidf, "term_join", lambda pairs, *rest: met.append(pairs.count()) or join(pairs, *rest))
+
+    def result(max_rows):
+        found = tfidf.tfidf_vectors(df, stop_words=[], max_rows=max_rows, with_terms=True)[0].collect()
+        return sorted(repr((r[0], sorted(zip(r["terms"], r["tfs"], (round(w, 12) for w in r["weights"]))))) for r in found)
+
+    whole = result(500_000)
+    assert met == [] and len(whole) == len(rows)
+    assert result(10) == whole and met == [59]  # w0, w2, ... w59: one each
+    assert result(0) == whole
+
+
 def test_vectors_take_no_window_and_no_shuffle_by_document(answers):
     rows, _ = tfidf.tfidf_vectors(answers, stop_words=[])
     plan = rows._jdf.queryExecution().toString()

@@ -9,15 +9,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from ..functions.text import bigrams, bind, exploded, term_counts, terms, unigrams_and_bigrams
-from ..session import BROADCAST_ROWS, cut_lineage, is_small, lookup_join, written
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, is_small, lookup_join, written
 
 # A term is hot when it holds at least this share of all (document, term) pairs,
 # so there are at most 1 / share hot terms whatever the corpus.
 HOT_SHARE = 0.001
 HOT_SALTS = 64
-COUNTS = "array<struct<term:string,tf:bigint>>"
+COUNTS = ArrayType(StructType().add("term", "string").add("tf", "long"))
+# Answers counted at a time inside a task.
+SLICE_ROWS = 2000
 
 
 def default_stop_words(spark: SparkSession, language: str = "english") -> list[str]:
@@ -84,14 +87,15 @@ def term_join(
 
 
 def term_dictionary(counts: DataFrame, n_docs: Column, numbered: bool = True) -> DataFrame:
-    """``(term, term_id, df, idf)`` of ``counts(id, counts)``; ids are dense from 0.
+    """``(term, term_id, df, idf)`` of ``counts(id, counts)``; ids are dense from 0, frequent terms first.
 
     Every partition of the counted terms numbers its own; the numbers are shifted by the sizes of the
     partitions before, one row each. ``numbered=False`` leaves the ids null.
     """
     rows = exploded(counts, [], F.col("counts.term"), "term")
     totals = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a document has a term once
-    placed = written(totals.withColumn("_at", F.monotonically_increasing_id()))
+    ordered = totals.sort(F.desc("df")) if numbered else totals
+    placed = written(ordered.withColumn("_at", F.monotonically_increasing_id()))
     weight = idf(n_docs, F.col("df")).alias("idf")
     if not numbered:
         return placed.select("term", F.lit(None).cast("bigint").alias("term_id"), "df", weight)
@@ -103,49 +107,114 @@ def term_dictionary(counts: DataFrame, n_docs: Column, numbered: bool = True) ->
         "term", (F.col("_start") + inside).alias("term_id"), "df", weight)
 
 
-def _document_counts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str]) -> DataFrame:
-    return df.select(id_col, F.coalesce(term_counts(terms(F.col(text_col), stop_words)), F.array().cast(COUNTS)).alias("counts"))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
+def _lists(size: int, row: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """``values`` as ``size`` lists, ``row`` ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=size))], pa.int32()), values)
 
 
-def _looked_up(counts: DataFrame, dictionary: DataFrame, id_col: str) -> DataFrame:
-    """``(id, terms, tfs, term_ids, weights)`` with the dictionary at hand in every task."""
+def _document_counts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str]) -> DataFrame:
+    """``(id, counts)``: the distinct terms of each answer and how often each occurs."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            words = part.column(1).flatten().dictionary_encode()
+            owner = pc.list_parent_indices(part.column(1)).to_numpy().astype(np.int64)
+            size = max(len(words.dictionary), 1)
+            at, tf = np.unique(owner * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            entries = pa.StructArray.from_arrays([words.dictionary.take(pa.array(at % size)), pa.array(tf, pa.int64())], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(len(part), at // size, entries)], names=[id_col, "counts"])
+
+    tokens = df.select(id_col, terms(F.col(text_col), stop_words).alias("_tokens"))
+    return tokens.mapInArrow(count, StructType([tokens.schema[id_col]]).add("counts", COUNTS))
+
+
+def _least_common(dictionary: DataFrame, max_rows: int) -> int | None:
+    """The number of documents from which on all terms together may be broadcast; None if that holds for no term."""
+    step = F.floor(4 * F.log2("df"))  # some hundred steps at most
+    size = F.sum(F.octet_length("term") + 24)
+    steps = dictionary.groupBy(step.alias("step")).agg(F.min("df").alias("df"), F.count(F.lit(1)).alias("n"), size.alias("size"))
+    least, rows, volume = None, 0, 0
+    for row in sorted(steps.collect(), key=lambda row: -row["df"]):
+        rows, volume = rows + row["n"], volume + row["size"]
+        if rows > max_rows or volume > BROADCAST_BYTES:
+            break
+        least = row["df"]
+    return least
+
+
+def _looked_up(counts: DataFrame, dictionary: DataFrame, id_col: str, keep: Sequence[str] = (), whole: bool = True) -> DataFrame:
+    """``(id, terms, tfs, term_ids, weights)`` with the dictionary at hand in every task.
+
+    Without the ``whole`` dictionary, the weights are not brought to norm 1, ``square`` is the sum of their
+    squares, and ``rest`` holds the counts of the terms that are not in it.
+    """
     known = dictionary.select("term", "term_id", "idf").toArrow()  # bounded by the caller's check
-    shared = counts.sparkSession.sparkContext.broadcast(
-        (known.column("term").combine_chunks(), known.column("term_id").fill_null(0).to_numpy(), known.column("idf").to_numpy()))
+    shared = counts.sparkSession.sparkContext.broadcast((
+        known.column("term").combine_chunks().cast(pa.string()), known.column("term_id").fill_null(0).to_numpy(),
+        known.column("idf").to_numpy()))
+    rows = counts.select(id_col, *keep, F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tfs"))
+    place = len(keep) + 1
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, numbers, factors = shared.value
         for batch in batches:
-            word, tf = (batch.column(i) for i in (1, 2))
-            at = pc.index_in(word.values.cast(words.type), value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
-            weight = tf.values.to_numpy(zero_copy_only=False) * factors[at]
-            size = np.diff(word.offsets.to_numpy())
-            row = np.repeat(np.arange(len(size)), size)
-            weight /= np.sqrt(np.bincount(row, weight * weight, len(size)))[row]
-            columns = [pa.ListArray.from_arrays(word.offsets, pa.array(x)) for x in (numbers[at].astype(np.int64), weight)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[id_col, "terms", "tfs", "term_ids", "weights"])
-
-    kind = counts.schema[id_col].dataType.simpleString()
-    shape = f"`{id_col}` {kind}, terms array<string>, tfs array<bigint>, term_ids array<bigint>, weights array<double>"
-    split = counts.select(id_col, F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tfs"))
-    return split.mapInArrow(look_up, shape)
+            size, lists = len(batch), batch.column(place)
+            word, tf = (batch.column(i).flatten() for i in (place, place + 1))
+            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            found = pc.index_in(word.cast(words.type), value_set=words)
+            hit = found.is_valid().to_numpy(zero_copy_only=False)
+            at = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            own, kept = row[hit], word.filter(pa.array(hit))
+            times = tf.to_numpy(zero_copy_only=False)
+            weight = times[hit] * factors[at]
+            square = np.bincount(own, weight * weight, size)
+            if whole:
+                weight = weight / np.sqrt(square)[own]
+            values = [kept, pa.array(times[hit], pa.int64()), pa.array(numbers[at].astype(np.int64)), pa.array(weight, pa.float64())]
+            columns = [*batch.columns[:place], *(_lists(size, own, x) for x in values)]
+            if not whole:
+                rest = pa.StructArray.from_arrays([word.filter(pa.array(~hit)), pa.array(times[~hit], pa.int64())], names=["term", "tf"])
+                columns += [pa.array(square, pa.float64()), _lists(size, row[~hit], rest)]
+            yield pa.RecordBatch.from_arrays(columns, names=shape.fieldNames())
+
+    shape = StructType([rows.schema[c] for c in (id_col, *keep)]).add("terms", ArrayType(StringType())).add(
+        "tfs", ArrayType(LongType())).add("term_ids", ArrayType(LongType())).add("weights", ArrayType(DoubleType()))
+    if not whole:
+        shape = shape.add("square", "double").add("rest", COUNTS)
+    return rows.mapInArrow(look_up, shape)
 
 
 def _joined(counts: DataFrame, dictionary: DataFrame, id_col: str, max_rows: int, with_terms: bool) -> DataFrame:
-    """The same by joins: terms meet the dictionary, then one row a document is put together again."""
+    """The same for any dictionary: its most common terms, most of all pairs, are looked up, the others join it.
+
+    The rows that come back from the join are numbers of rare terms; they meet their answer by the number of its row.
+    """
+    least = _least_common(dictionary, max_rows)
+    common = F.lit(False) if least is None else F.col("df") >= least
+    placed = written(_looked_up(counts.withColumn("_at", F.monotonically_increasing_id()), dictionary.filter(common), id_col, ["_at"], whole=False))
     totals = dictionary.agg(F.sum("df").alias("pairs"))
-    hot = dictionary.filter(F.col("df") >= HOT_SHARE * totals.scalar()).select("term")
-    rows = exploded(counts, [id_col], F.col("counts"), "_count").select(id_col, "_count.term", "_count.tf")
-    met = term_join(rows, dictionary.select("term", "term_id", "idf"), hot, F.col(id_col), max_rows)
+    others = dictionary.filter(~common)
+    hot = others.filter(F.col("df") >= HOT_SHARE * totals.scalar()).select("term")
+    rows = exploded(placed, ["_at"], F.col("rest"), "_count").select("_at", "_count.term", "_count.tf")
+    met = term_join(rows, others.select("term", "term_id", "idf"), hot, F.col("_at"), max_rows)
     names = [*(["term"] if with_terms else []), "term_id", "tf"]
     entry = F.struct(*names, (F.col("tf") * F.col("idf")).alias("weight"))
-    entries = met.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-    norm = F.sqrt(F.aggregate("_entries", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]))
-    some = entries.withColumn("_norm", norm).select(
-        id_col, *([F.col("_entries.term").alias("terms")] if with_terms else []), F.col("_entries.tf").alias("tfs"),
-        F.col("_entries.term_id").alias("term_ids"), F.transform("_entries", lambda e: e["weight"] / F.col("_norm")).alias("weights"))
-    empty = [F.array().cast(some.schema[c].dataType).alias(c) for c in some.columns[1:]]
-    return some.unionByName(counts.filter(F.size("counts") == 0).select(id_col, *empty))
+    entries = met.groupBy("_at").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+
+    def both(name: str, inner: str) -> Column:
+        return F.when(F.col("_entries").isNull(), F.col(name)).otherwise(F.concat(name, F.col(f"_entries.{inner}")))
+
+    # worked out once for the answer: inside the lambda below it would be summed up anew for each of its terms
+    squares = F.aggregate(F.coalesce(F.col("_entries.weight"), F.array().cast("array<double>")), F.col("square"), lambda total, w: total + w * w)
+    weights = bind(F.sqrt(squares), lambda norm: F.transform(both("weights", "weight"), lambda w: w / norm))
+    return placed.drop("rest").join(entries, "_at", "left").select(
+        id_col, *([both("terms", "term").alias("terms")] if with_terms else []), both("tfs", "tf").alias("tfs"),
+        both("term_ids", "term_id").alias("term_ids"), weights.alias("weights"))
 
 
 def tfidf_vectors(
@@ -154,14 +223,14 @@ def tfidf_vectors(
 ) -> tuple[DataFrame, DataFrame]:
     """One sparse row per answer, ``(id, tfs, term_ids, weights)``, and the ``(term, term_id, df, idf)`` they refer to.
 
-    Weights are worked out and brought to norm 1 in the row. A dictionary that may be broadcast is
-    looked up where the answer is read, without any shuffle; beyond that the terms join it, hot ones
-    salted, and a row is put together again from numbers. An answer without terms, or a null one, has
+    Answers are counted once. Weights are worked out and brought to norm 1 in the row. A dictionary that may
+    be broadcast is looked up where the answer is read, without any shuffle; beyond that only its rare terms
+    are joined. Ids ascend as the documents of a term get fewer. An answer without terms, or a null one, has
     empty arrays. ``id`` is unique. ``with_terms`` adds the words themselves, for which the term ids
     need not be ``numbered``.
     """
     stop_words = resolve_stop_words(df.sparkSession, stop_words)
-    counts = _document_counts(df, id_col, text_col, stop_words)
+    counts = written(_document_counts(df, id_col, text_col, stop_words))  # numbers the terms, then is weighted
     dictionary = term_dictionary(counts, df.agg(F.count(F.lit(1)).alias("n")).scalar(), numbered)
     if is_small(dictionary, max_rows):
         rows = _looked_up(counts, dictionary, id_col)
