@@ -70,6 +70,17 @@ def test_bigram_pruning_is_exact(spark, cap):
     assert all(abs(row["s"] - 1) < 1e-9 for row in norms)
 
 
+def test_candidates_are_found_without_a_scan_of_the_list_per_token(spark, monkeypatch):
+    plans, cut = [], tfidf.cut_lineage
+    monkeypatch.setattr(tfidf, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    rows = [(1, "a", "xx yy xx yy zz"), (1, "a", "zz xx"), (None, "b", "yy"), (2, "b", None), (3, None, "xx yy"), (4, "b", ""), (5, "b", "yy xx")]
+    df = spark.createDataFrame(rows, "response_id long, cluster string, response string")
+    got = tfidf.group_candidates(df, "cluster", "response_id", "response", [], 1).collect()
+    assert not any("array_contains" in plan for plan in plans) and plans
+    assert sorted((r[0], str(r[1]), sorted((c["term"], c["tf"]) for c in r["counts"])) for r in got) == [
+        ("a", "1", [("xx", 1)]), ("a", "1", [("xx", 2), ("xx yy", 2)]), ("b", "5", [("yy", 1), ("yy xx", 1)]), ("b", "None", [("yy", 1)])]
+
+
 def test_tfidf_paths_agree_and_have_unit_norm(spark):
     df = spark.createDataFrame(corpus(2, 400), "response_id long, cluster long, response string")
     small = tfidf.tfidf(df, stop_words=["wa"]).collect()

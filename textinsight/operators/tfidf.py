@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from ..functions.text import bigrams, bind, exploded, term_counts, terms, unigrams_and_bigrams
+from ..functions.text import bind, exploded, term_counts, terms, unigrams_and_bigrams
 from ..session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, is_small, lookup_join, written
 
 # A term is hot when it holds at least this share of all (document, term) pairs,
@@ -275,15 +275,42 @@ def group_candidates(
     tokens = terms(F.col(text_col), stop_words)
     totals = exploded(df, [group], tokens, "term").groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
     listed = limit_vocabulary(totals, [group], max_features)
-    lists = listed.groupBy(group).agg(F.collect_list("term").alias("_words"))
+    lists = listed.groupBy(group).agg(F.array_join(F.collect_list("term"), " ").alias("_words"))
 
-    def candidates(sequence: Column) -> Column:
-        hits = F.transform(sequence, lambda token: F.when(F.array_contains(F.col("_words"), token), token))
-        return bind(hits, lambda hit: F.array_compact(F.concat(hit, bigrams(hit, sequence))))
+    joined = lookup_join(df.select(group, id_col, text_col), lists, [group], id_col).select(
+        group, id_col, "_words", tokens.alias("_tokens"))
 
-    joined = lookup_join(df.select(group, id_col, text_col), lists, [group], id_col)
-    counted = joined.select(group, id_col, term_counts(bind(tokens, candidates)).alias("counts"))
-    return cut_lineage(counted.filter(F.size("counts") > 0))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            owner = pc.list_parent_indices(part.column(3)).to_numpy().astype(np.int64)
+            words = part.column(3).flatten().dictionary_encode()
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            size = max(len(words.dictionary), 1)
+            # one list per group: its words as numbers of the slice's words
+            of_group = part.column(2).dictionary_encode()
+            listed = pc.split_pattern(of_group.dictionary, " ")
+            known = pc.index_in(listed.flatten(), value_set=words.dictionary)
+            there = known.is_valid().to_numpy(zero_copy_only=False)
+            keys = pc.list_parent_indices(listed).to_numpy().astype(np.int64)[there] * size
+            keys = np.sort(keys + known.drop_null().to_numpy(zero_copy_only=False))
+            wanted = of_group.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner] * size + code
+            found = np.searchsorted(keys, wanted)
+            hit = np.flatnonzero(np.r_[keys, -1][found] == wanted)
+            pair = hit[np.r_[owner, -1][hit + 1] == owner[hit]]
+            # a word alone has no follower, number 0
+            first = np.r_[hit, pair]
+            follower = np.r_[np.zeros(len(hit), np.int64), code[np.minimum(pair + 1, len(code) - 1)] + 1]
+            at, tf = np.unique((owner[first] * size + code[first]) * (size + 1) + follower, return_counts=True)
+            row, head, tail = at // (size + 1) // size, at // (size + 1) % size, at % (size + 1)
+            alone = words.dictionary.take(pa.array(head))
+            after = words.dictionary.take(pa.array(tail - 1, mask=tail == 0))
+            term = pc.coalesce(pc.binary_join_element_wise(alone, after, " "), alone)
+            entries = pa.StructArray.from_arrays([term, pa.array(tf, pa.int64())], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:2], _lists(len(part), row, entries)], names=[group, id_col, "counts"])
+
+    shape = StructType([joined.schema[group], joined.schema[id_col]]).add("counts", COUNTS)
+    return cut_lineage(joined.mapInArrow(count, shape).filter(F.size("counts") > 0))
 
 
 def candidate_vocabulary(candidates: DataFrame, group: str, max_features: int = 100) -> DataFrame:
