@@ -107,6 +107,21 @@ def test_bounded_rounds_equal_full_rounds(vectors, k, max_bytes):
     assert looked[0] == len(x) and (max_bytes == 0 or k == 1 or min(looked) < len(x)), looked
 
 
+def test_a_short_table_of_centroids_is_looked_up(vectors, monkeypatch):
+    """Centroids of a few documents take no join, however many terms the rows have; more take one for rare terms."""
+    x, starts, joined = dense(vectors), [0, 5, 10], []
+    first = kmeans.centroids_from_documents(vectors, starts)
+    pairs = kmeans._pairs
+    monkeypatch.setattr(kmeans, "_pairs", lambda *args: joined.append(1) or pairs(*args))
+    rows, k = first.count(), len(starts)
+    want = np.round((x[starts] ** 2).sum(1) - 2 * x @ x[starts].T, 9).argmin(1).tolist()
+    for room, joins in ((rows, 0), (10, 1), (0, 1)):
+        joined.clear()
+        got = kmeans.TableModel(first, k, "response_id", room * 8 * (k + 1)).score(vectors.select("response_id", "term_ids", "weights"))
+        assert [r["cluster"] for r in sorted(got.collect(), key=lambda r: r["response_id"])] == want
+        assert len(joined) == joins
+
+
 def test_signed_changes_equal_a_full_update(vectors):
     """Rows that move change the sums as much as working them out anew does, on both paths."""
     x, starts = dense(vectors), [0, 5, 10]

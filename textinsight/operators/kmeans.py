@@ -106,12 +106,9 @@ class ArrayModel:
                     sign[row, before] -= 1
                 else:
                     sign[row, before] = 1
-                owner = _owners(ids)
-                moved = np.flatnonzero(sign.any(1)[owner])
-                found, at = np.unique(ids.flatten().to_numpy(zero_copy_only=False)[moved], return_inverse=True)
-                change = weights.flatten().to_numpy(zero_copy_only=False)[moved, None] * sign[owner[moved]]
+                found, changes = _signed_sums(ids, weights, sign)
                 # sizes and the number of rows travel as one term more
-                sums = [np.r_[sign[:, j].sum(), np.bincount(at, change[:, j], len(found))] for j in range(k)]
+                sums = [np.r_[sign[:, j].sum(), change] for j, change in enumerate(changes)]
                 looked = np.zeros(len(found) + 1, np.int64)
                 looked[0] = len(before)
                 yield pa.RecordBatch.from_arrays(
@@ -155,30 +152,76 @@ def _dots(ids: pa.ListArray, weights: pa.ListArray, values: np.ndarray) -> np.nd
     return np.stack([np.bincount(owner, each[:, j], len(ids)) for j in range(values.shape[1])], 1)
 
 
+def _some_dots(ids: pa.ListArray, weights: pa.ListArray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The part of the products that the terms ``known``, ascending, make up; ``values`` has a row for each."""
+    terms = ids.flatten().to_numpy(zero_copy_only=False)
+    at = np.searchsorted(known, terms)
+    hit = np.flatnonzero(np.r_[known, -1][at] == terms)
+    owner = _owners(ids)[hit]
+    weight = weights.flatten().to_numpy(zero_copy_only=False)[hit]
+    return np.stack([np.bincount(owner, weight * values[at[hit], j], len(ids)) for j in range(values.shape[1])], 1)
+
+
+def _signed_sums(ids: pa.ListArray, weights: pa.ListArray, sign: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The terms of the rows that have a sign, and the sums of their signed weights in each cluster."""
+    owner = _owners(ids)
+    moved = np.flatnonzero(sign.any(1)[owner])
+    found, at = np.unique(ids.flatten().to_numpy(zero_copy_only=False)[moved], return_inverse=True)
+    change = weights.flatten().to_numpy(zero_copy_only=False)[moved, None] * sign[owner[moved]]
+    return found, [np.bincount(at, change[:, j], len(found)) for j in range(sign.shape[1])]
+
+
 class TableModel:
-    """Centroids as a table ``(term_id, c)``, for any number of terms: terms join it, hot ones salted."""
+    """Centroids as a table ``(term_id, c)``, for any number of terms.
 
-    def __init__(self, centroids: DataFrame, k: int, id_col: str) -> None:
-        self.centroids, self.k, self.id_col = centroids, k, id_col
+    The weights of the terms with the lowest ids, the most common ones, are looked up in every task, as many
+    as ``max_bytes`` allows. Pairs with other terms join the table, hot ones salted; there are none where the
+    table is short, such as that of a few documents.
+    """
+
+    def __init__(self, centroids: DataFrame, k: int, id_col: str, max_bytes: int = BROADCAST_BYTES) -> None:
+        self.centroids, self.k, self.id_col, self.max_bytes = centroids, k, id_col, max_bytes
 
     def _zeros(self) -> Column:
         return F.array(*[F.lit(0.0)] * self.k)
 
+    def _near(self, vectors: DataFrame, known: DataFrame) -> DataFrame:
+        """The rows with ``_near``, their products as far as the terms ``known`` make them up."""
+        table = known.orderBy("term_id").toArrow()  # bounded by the caller
+        values = table.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.k)
+        shared = vectors.sparkSession.sparkContext.broadcast((table.column("term_id").to_numpy(), values))
+        k, names = self.k, vectors.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dots = _some_dots(batch.column("term_ids"), batch.column("weights"), *shared.value)
+                products = pa.FixedSizeListArray.from_arrays(pa.array(dots.ravel()), k).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, products], names=[*names, "_near"])
+
+        kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in vectors.schema)
+        return vectors.mapInArrow(run, f"{kinds}_near array<double>")
+
     def _costs(self, vectors: DataFrame) -> DataFrame:
-        rows = _pairs(vectors.select(self.id_col, "term_ids", "weights"), [self.id_col])
+        squares = [F.coalesce(F.sum(F.col("c")[j] * F.col("c")[j]), F.lit(0.0)) for j in range(self.k)]
+        norms = self.centroids.agg(F.array(*squares).alias("norms")).scalar()
+        room = self.max_bytes // 8 // (self.k + 1)
+        if self.centroids.count() <= room:
+            costs = [F.round(norms[j] - 2 * F.col("_near")[j], SCORE_DIGITS) for j in range(self.k)]
+            return self._near(vectors, self.centroids).withColumn("_dots", F.array(*costs)).drop("_near")
+        rare = F.col("term_id") >= room
+        rows = _pairs(vectors.select(self.id_col, "term_ids", "weights"), [self.id_col]).filter(rare)
         total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
         hot = cut_lineage(rows.groupBy("term_id").count().filter(F.col("count") >= HOT_SHARE * total).select("term_id"))
         flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # at most 1 / HOT_SHARE rows
         left = rows.join(flagged, "term_id", "left").withColumn(
             "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(self.id_col), F.lit(HOT_SALTS))).otherwise(F.lit(0)))
         salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        right = self.centroids.join(flagged, "term_id", "left").withColumn("_salt", F.explode(salts.cast("array<bigint>")))
+        right = self.centroids.filter(rare).join(flagged, "term_id", "left").withColumn("_salt", F.explode(salts.cast("array<bigint>")))
         met = left.drop("_hot").join(right.drop("_hot"), ["term_id", "_salt"])
         dots = met.groupBy(self.id_col).agg(F.array(*[F.sum(F.col("weight") * F.col("c")[j]) for j in range(self.k)]).alias("_dots"))
-        squares = [F.coalesce(F.sum(F.col("c")[j] * F.col("c")[j]), F.lit(0.0)) for j in range(self.k)]
-        norms = self.centroids.agg(F.array(*squares).alias("norms")).scalar()
-        costs = [F.round(norms[j] - 2 * F.coalesce(F.col("_dots")[j], F.lit(0.0)), SCORE_DIGITS) for j in range(self.k)]
-        return vectors.join(dots, self.id_col, "left").withColumn("_dots", F.array(*costs))
+        costs = [F.round(norms[j] - 2 * (F.col("_near")[j] + F.coalesce(F.col("_dots")[j], F.lit(0.0))), SCORE_DIGITS) for j in range(self.k)]
+        near = self._near(vectors, self.centroids.filter(~rare))
+        return near.join(dots, self.id_col, "left").withColumn("_dots", F.array(*costs)).drop("_near")
 
     def score(self, vectors: DataFrame) -> DataFrame:
         return _scored(self._costs(vectors), F.col("_dots"))
@@ -192,11 +235,19 @@ class TableModel:
         signs = [(F.when(F.col("cluster") == j, 1.0).otherwise(0.0) - (F.when(F.col("_before") == j, 1.0).otherwise(0.0) if relabel else 0.0)) for j in range(self.k)]
         signed = rows.select(self.id_col, "term_ids", "weights", *([F.col("_before")] if relabel else []), "cluster").withColumn("_sign", F.array(*signs))
         moving = signed.filter("cluster <> _before") if relabel else signed
-        total = _pairs(moving, ["_sign"]).groupBy("term_id").agg(
-            F.array(*[F.sum(F.col("weight") * F.col("_sign")[j]) for j in range(self.k)]).alias("c"))
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sign = batch.column("_sign").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                found, sums = _signed_sums(batch.column("term_ids"), batch.column("weights"), sign)
+                yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["term_id", *[f"s{j}" for j in range(k)]])
+
+        parts = moving.select("term_ids", "weights", "_sign").mapInArrow(run, "term_id bigint, " + ", ".join(f"s{j} double" for j in range(k)))
+        total = parts.groupBy("term_id").agg(F.array(*[F.sum(f"s{j}") for j in range(k)]).alias("c"))
         counted = signed.agg(F.count(F.lit(1)).alias("looked"), *[F.sum(F.col("_sign")[j]).alias(f"s{j}") for j in range(self.k)]).first()
         sizes = np.array([counted[f"s{j}"] or 0.0 for j in range(self.k)])
-        return TableModel(cut_lineage(total), self.k, self.id_col), sizes, counted["looked"]
+        return TableModel(cut_lineage(total), self.k, self.id_col, self.max_bytes), sizes, counted["looked"]
 
     def plus(self, change: TableModel) -> TableModel:
         return self._combined(change, lambda a, b: a + b)
@@ -205,12 +256,12 @@ class TableModel:
         right = other.centroids.select("term_id", F.col("c").alias("_other"))
         both = self.centroids.join(right, "term_id", "full").select(
             "term_id", F.zip_with(F.coalesce("c", self._zeros()), F.coalesce("_other", self._zeros()), combine).alias("c"))
-        return TableModel(both, self.k, self.id_col)
+        return TableModel(both, self.k, self.id_col, self.max_bytes)
 
     def means(self, sizes: np.ndarray) -> TableModel:
         factors = [float(1 / n) if n > 0 else 0.0 for n in sizes]
         means = self.centroids.select("term_id", F.array(*[F.col("c")[j] * F.lit(f) for j, f in enumerate(factors)]).alias("c"))
-        return TableModel(cut_lineage(means), self.k, self.id_col)
+        return TableModel(cut_lineage(means), self.k, self.id_col, self.max_bytes)
 
     def apart(self, other: TableModel) -> np.ndarray:
         change = self._combined(other, lambda a, b: a - b).centroids
@@ -236,7 +287,7 @@ def model_of(
     """
     if n_terms * (k + 1) * 8 <= max_bytes:
         return ArrayModel.read(centroids, k, n_terms)
-    return TableModel(cut_lineage(centroids), k, id_col)
+    return TableModel(cut_lineage(centroids), k, id_col, max_bytes)
 
 
 def assign_to_centroids(
