@@ -414,6 +414,12 @@ def test_links_with_full_buckets(spark, bucket, segments):
     assert {p: roots.get(p, p) for p in signed} == grouped(signed, close)
 
 
+def test_probes_are_not_broadcast(spark):
+    links = simhash.near_links(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_bit_majority_over_chunks(monkeypatch):
     monkeypatch.setattr(simhash, "_CHUNK", 3)
     rng = np.random.default_rng(1)

@@ -115,8 +115,9 @@ def near_links(
         .select("p", "s", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
     )
     apart = F.bit_count(F.col("p").bitwiseXOR(F.col("fp")))
+    # Spark sizes both sides like the nodes before the explodes and would broadcast 67 probes a node.
     pairs = (
-        probes.alias("x").join(filed.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.v") == F.col("y.v"))
+        probes.alias("x").join(filed.alias("y").hint("merge"), (F.col("x.s") == F.col("y.s")) & (F.col("x.v") == F.col("y.v"))
                                & (F.col("full") | (F.col("p") < F.col("fp"))) & (apart <= distance) & (apart > 0))
         .select(F.col("p").alias("a"), F.col("fp").alias("b"))
     )
