@@ -25,6 +25,7 @@ from textinsight.llm.html_text import extract_pages, main_text
 from textinsight.llm.license_scan import license_scan
 from textinsight.llm.mixing import mix_sources, plan_mixture
 from textinsight.llm.sharding import hilbert_index, hilbert_shards
+from textinsight.session import lookup_join
 
 SF_DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, level int, id long, row long, fp long"
@@ -420,6 +421,14 @@ def test_probes_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_salted_copies_are_not_broadcast(spark):
+    left = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    joined = lookup_join(left, spark.range(5).select(F.col("id").alias("k"), F.lit("v").alias("v")), ["k"], "id", "left", max_rows=1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(joined.select("id", "v").collect()) == [(i, "v" if i % 7 < 5 else None) for i in range(1000)]
+
+
 def test_bit_majority_over_chunks(monkeypatch):
     monkeypatch.setattr(simhash, "_CHUNK", 3)
     rng = np.random.default_rng(1)

@@ -120,7 +120,8 @@ def contaminated(
     starts = F.sequence(F.lit(0), F.size("item_tokens") - F.col("size"))
     worded = F.transform(starts, lambda i: F.exists(F.slice("item_tokens", i + 1, F.col("size")), lambda t: ~_typed(t)))
     worded = tokens.select(*item, (F.size("item_tokens") - F.col("size") + 1).alias("windows"), F.posexplode(worded).alias("item_at", "worded"))
-    own = materialize(own.join(worded, [*item, "item_at"]))
+    # Spark sizes exploded rows like those before: it would broadcast them at any number
+    own = materialize(own.join(worded.hint("merge"), [*item, "item_at"]))
     unworded = own.filter("template and not worded").groupBy(*item).agg(F.collect_list("item_at").alias("unworded"))
     keys = own.filter("worded or not template").select("window", "template", *item, "item_at", "windows")
 
@@ -171,7 +172,8 @@ def _by_template(rows, hits, tokens, unworded, whole, window, coverage, slack) -
     named = tokens.select(*item, F.posexplode(F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("item_tokens") - window)), lambda i: F.slice("item_tokens", i + 1, window)))
         .alias("item_at", "of"))
-    met = places.join(slices, ["who", "text_hash", "at"]).join(small_side(materialize(named)), [*item, "item_at"])
+    # by shuffle, as places are sized like the hits before the explode
+    met = places.hint("merge").join(slices, ["who", "text_hash", "at"]).join(small_side(materialize(named)), [*item, "item_at"])
     same_types = F.forall(F.zip_with("of", "to", lambda a, b: _template_hash(a) == _template_hash(b)), lambda ok: F.coalesce(ok, F.lit(False)))
     pairs = F.filter(
         F.arrays_zip(F.sequence("item_at", F.col("item_at") + window - 1).alias("pos"), F.col("of"), F.col("to")),

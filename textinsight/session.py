@@ -148,4 +148,5 @@ def lookup_join(
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALTS)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    # Spark sizes the copies like one of them and might broadcast all after all
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
