@@ -1,6 +1,7 @@
 """Vector rows, seeding and bounded Lloyd rounds against plain versions."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textinsight.operators import kmeans, tfidf
-from textinsight.session import spread
+from textinsight.session import shared_folder, spread
 
 TOPICS = ["red apple pie fruit tree".split(), "fast blue car road wheel".split(), "deep green sea wave fish".split()]
 
@@ -184,3 +185,13 @@ def test_spread_leaves_enough_partitions_alone(spark):
     wide = spark.range(0, 1000, 1, cores)
     assert spread(wide, "id") is wide
     assert spread(spark.range(0, 1000, 1, 1), "id").rdd.getNumPartitions() == cores
+
+
+@pytest.mark.parametrize("max_bytes, tables", [(kmeans.BROADCAST_BYTES, 2), (0, 5)])
+def test_few_tables_are_left(spark, answers, max_bytes, tables):
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = kmeans.lloyd_kmeans(answers, 3, max_iter=2, stop_words=[], start_ids=[0, 1, 2], max_bytes=max_bytes)
+    assert found.count() == answers.count()
+    # the rows, the reference, and where centroids are tables the sums and at most two sets of centroids
+    assert len([name for name in set(os.listdir(folder)) - before if name.startswith("table-")]) <= tables

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, cut_lineage, small_side, written
-from .tfidf import HOT_SALTS, HOT_SHARE, resolve_stop_words, tfidf_vectors
+from ..session import BROADCAST_BYTES, cut_lineage, discard, reclaim, small_side, written
+from .tfidf import HOT_SALTS, HOT_SHARE, raw_vectors, resolve_stop_words, unit_weights
 
 # Costs of a row against two centroids are rounded before they are compared.
 SCORE_DIGITS = 9
@@ -24,6 +24,17 @@ PASSES, OVERSAMPLE = 2, 2
 FAILED_SHARE = 0.25
 
 # vectors(id, term_ids, weights): one row per document. centroids(term_id, c): the weight of a term in each cluster.
+# Written rows may hold (raw, square) for the weights, which takes less room; ``_weighted`` works them out.
+
+
+def _weighted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("weights", unit_weights()) if "raw" in rows.columns else rows
+
+
+def _let_go(shared: list) -> None:
+    """Delete copies of an array from the disks of driver and executors; the tasks that read it are done."""
+    while shared:
+        shared.pop().destroy()
 
 
 def centroids_from_documents(vectors: DataFrame, ids: Sequence, id_col: str = "response_id") -> DataFrame:
@@ -59,7 +70,7 @@ class ArrayModel:
     """
 
     def __init__(self, values: np.ndarray) -> None:
-        self.values, self.k = values, values.shape[1]
+        self.values, self.k, self.shared = values, values.shape[1], []
 
     @classmethod
     def read(cls, centroids: DataFrame, k: int, n_terms: int) -> ArrayModel:
@@ -70,6 +81,7 @@ class ArrayModel:
 
     def score(self, vectors: DataFrame) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast((self.values, (self.values**2).sum(0)))
+        self.shared.append(shared)
         names = vectors.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +130,7 @@ class ArrayModel:
         shape = "term_id bigint, looked bigint, " + ", ".join(f"s{j} double" for j in range(k))
         parts = labelled.select("term_ids", "weights", "cluster").mapInArrow(run, shape)
         table = parts.groupBy("term_id").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]]).toArrow()
+        _let_go([shared])
         terms = table.column("term_id").to_numpy()
         found = np.column_stack([table.column(f"s{j}").to_numpy() for j in range(k)]) if len(terms) else np.zeros((0, k))
         own = terms >= 0
@@ -125,6 +138,14 @@ class ArrayModel:
         total[terms[own]] = found[own]
         return ArrayModel(total), found[~own].sum(0), int(table.column("looked").to_numpy().sum())
 
+    def release(self) -> None:
+        """Call it when the rows scored so far have been written or collected."""
+        _let_go(self.shared)
+
+    def drop(self) -> None:
+        """Call it when nothing reads the centroids any more."""
+        self.release()
+
     def plus(self, change: ArrayModel) -> ArrayModel:
         return ArrayModel(self.values + change.values)
 
@@ -179,8 +200,9 @@ class TableModel:
     table is short, such as that of a few documents.
     """
 
-    def __init__(self, centroids: DataFrame, k: int, id_col: str, max_bytes: int = BROADCAST_BYTES) -> None:
+    def __init__(self, centroids: DataFrame, k: int, id_col: str, max_bytes: int = BROADCAST_BYTES, owned: bool = False) -> None:
         self.centroids, self.k, self.id_col, self.max_bytes = centroids, k, id_col, max_bytes
+        self.owned, self.shared = owned, []  # owned: a table of ``written``, deleted by ``drop``
 
     def _zeros(self) -> Column:
         return F.array(*[F.lit(0.0)] * self.k)
@@ -190,6 +212,7 @@ class TableModel:
         table = known.orderBy("term_id").toArrow()  # bounded by the caller
         values = table.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.k)
         shared = vectors.sparkSession.sparkContext.broadcast((table.column("term_id").to_numpy(), values))
+        self.shared.append(shared)
         k, names = self.k, vectors.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,20 +244,22 @@ class TableModel:
         dots = met.groupBy(self.id_col).agg(F.array(*[F.sum(F.col("weight") * F.col("c")[j]) for j in range(self.k)]).alias("_dots"))
         costs = [F.round(norms[j] - 2 * (F.col("_near")[j] + F.coalesce(F.col("_dots")[j], F.lit(0.0))), SCORE_DIGITS) for j in range(self.k)]
         near = self._near(vectors, self.centroids.filter(~rare))
-        return near.join(dots, self.id_col, "left").withColumn("_dots", F.array(*costs)).drop("_near")
+        if "raw" in vectors.columns:  # so the weights are not shuffled
+            near = near.drop("weights")
+        return _weighted(near.join(dots, self.id_col, "left").withColumn("_dots", F.array(*costs)).drop("_near"))
 
     def score(self, vectors: DataFrame) -> DataFrame:
         return _scored(self._costs(vectors), F.col("_dots"))
 
     def sums(self, labelled: DataFrame, relabel: bool) -> tuple[TableModel, np.ndarray, int]:
+        looked = labelled.count()
         rows = labelled
-        if relabel:
-            now = self.score(labelled.withColumnRenamed("cluster", "_before")).select(self.id_col, "term_ids", "weights", "_before", "cluster")
-            rows = cut_lineage(now)
-        # a row that stays has no sign at all, so it goes no further
+        if relabel:  # a row that stays has no sign at all, so it goes no further
+            now = self.score(labelled.withColumnRenamed("cluster", "_before")).filter("cluster <> _before")
+            rows = written(now.select("term_ids", "weights", "_before", "cluster"))
+            self.release()
         signs = [(F.when(F.col("cluster") == j, 1.0).otherwise(0.0) - (F.when(F.col("_before") == j, 1.0).otherwise(0.0) if relabel else 0.0)) for j in range(self.k)]
-        signed = rows.select(self.id_col, "term_ids", "weights", *([F.col("_before")] if relabel else []), "cluster").withColumn("_sign", F.array(*signs))
-        moving = signed.filter("cluster <> _before") if relabel else signed
+        signed = rows.select("term_ids", "weights", F.array(*signs).alias("_sign"))
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +268,23 @@ class TableModel:
                 found, sums = _signed_sums(batch.column("term_ids"), batch.column("weights"), sign)
                 yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["term_id", *[f"s{j}" for j in range(k)]])
 
-        parts = moving.select("term_ids", "weights", "_sign").mapInArrow(run, "term_id bigint, " + ", ".join(f"s{j} double" for j in range(k)))
+        parts = signed.mapInArrow(run, "term_id bigint, " + ", ".join(f"s{j} double" for j in range(k)))
         total = parts.groupBy("term_id").agg(F.array(*[F.sum(f"s{j}") for j in range(k)]).alias("c"))
-        counted = signed.agg(F.count(F.lit(1)).alias("looked"), *[F.sum(F.col("_sign")[j]).alias(f"s{j}") for j in range(self.k)]).first()
-        sizes = np.array([counted[f"s{j}"] or 0.0 for j in range(self.k)])
-        return TableModel(cut_lineage(total), self.k, self.id_col, self.max_bytes), sizes, counted["looked"]
+        sums = TableModel(written(total), self.k, self.id_col, self.max_bytes, owned=True)
+        counted = signed.agg(*[F.sum(F.col("_sign")[j]).alias(f"s{j}") for j in range(self.k)]).first()
+        if relabel:
+            discard(rows)
+        return sums, np.array([counted[f"s{j}"] or 0.0 for j in range(self.k)]), looked
+
+    def release(self) -> None:
+        """Call it when the rows scored so far have been written or collected."""
+        _let_go(self.shared)
+
+    def drop(self) -> None:
+        """Call it when nothing reads the centroids any more."""
+        self.release()
+        if self.owned:
+            discard(self.centroids)
 
     def plus(self, change: TableModel) -> TableModel:
         return self._combined(change, lambda a, b: a + b)
@@ -261,7 +298,7 @@ class TableModel:
     def means(self, sizes: np.ndarray) -> TableModel:
         factors = [float(1 / n) if n > 0 else 0.0 for n in sizes]
         means = self.centroids.select("term_id", F.array(*[F.col("c")[j] * F.lit(f) for j, f in enumerate(factors)]).alias("c"))
-        return TableModel(cut_lineage(means), self.k, self.id_col, self.max_bytes)
+        return TableModel(written(means), self.k, self.id_col, self.max_bytes, owned=True)
 
     def apart(self, other: TableModel) -> np.ndarray:
         change = self._combined(other, lambda a, b: a - b).centroids
@@ -287,7 +324,7 @@ def model_of(
     """
     if n_terms * (k + 1) * 8 <= max_bytes:
         return ArrayModel.read(centroids, k, n_terms)
-    return TableModel(cut_lineage(centroids), k, id_col, max_bytes)
+    return TableModel(written(centroids), k, id_col, max_bytes, owned=True)
 
 
 def assign_to_centroids(
@@ -352,14 +389,18 @@ def seed_documents(
     own = F.aggregate("weights", F.lit(0.0), lambda total, w: total + w * w)
     far = F.round(F.col("cost") + own, SCORE_DIGITS - 1)
 
-    def scored() -> DataFrame:
-        model = model_of(centroids_from_documents(some, candidates, id_col), len(candidates), id_col, n_terms, max_bytes)
-        return model.score(some).withColumn("far", far)
+    def model() -> ArrayModel | TableModel:
+        return model_of(centroids_from_documents(some, candidates, id_col), len(candidates), id_col, n_terms, max_bytes)
 
     for step in range(1, PASSES + 1):
-        race = scored().filter("far > 0").select(id_col, (-F.log(_draw(step, seed, id_col)) / F.col("far")).alias("time"))
+        near = model()
+        race = near.score(some).withColumn("far", far).filter("far > 0").select(
+            id_col, (-F.log(_draw(step, seed, id_col)) / F.col("far")).alias("time"))
         candidates += [row[0] for row in race.orderBy("time", id_col).limit(OVERSAMPLE * k).collect()]  # bounded by k
-    nearest = scored().groupBy("cluster").count().collect()  # one row per candidate
+        near.drop()
+    near = model()
+    nearest = near.score(some).groupBy("cluster").count().collect()  # one row per candidate
+    near.drop()
     weight = dict.fromkeys(range(len(candidates)), 0) | {row["cluster"]: row["count"] for row in nearest}
     apart = _distances(some, candidates, id_col)
     # the draws of the last steps, by candidate
@@ -414,36 +455,48 @@ def lloyd_vectors(
     reference and the centroids is carried from round to round, so a lost executor costs its tasks.
 
     Stops after ``max_iter`` updates or when no centroid moves by more than ``tol``. ``looked``
-    receives how many rows each round read.
+    receives how many rows each round read. What a round no longer needs is deleted at once.
     """
-    vectors = vectors.select(id_col, "term_ids", "weights")
+    packed = "raw" in vectors.columns
+    vectors = vectors.select(id_col, "term_ids", *(["raw", "square"] if packed else ["weights"]))
     model = model_of(centroids, k, id_col, count_terms(vectors), max_bytes)
 
     def refer() -> tuple:
-        table = written(model.score(vectors).drop("cost").sortWithinPartitions("margin"))
-        return table, model, *model.sums(table, relabel=False)
+        scored = model.score(_weighted(vectors)).drop("cost", *(["weights"] if packed else []))
+        table = written(scored.sortWithinPartitions("margin"))
+        model.release()
+        reclaim(vectors.sparkSession)
+        return table, model, *model.sums(_weighted(table), relabel=False)
 
     reference, at, sums, sizes, rows = refer()
     fresh = True
     for _ in range(max_iter):
+        change = None
         if fresh:
             total, members, read = sums, sizes, rows
         else:
-            change, moved, read = model.sums(_failing(reference, model.apart(at)), relabel=True)
+            change, moved, read = model.sums(_weighted(_failing(reference, model.apart(at))), relabel=True)
             total, members = sums.plus(change), sizes + moved
         if looked is not None:
             looked.append(read)
         after = total.means(np.round(members))
         step = float(after.apart(model).max())
+        if change is not None:
+            change.drop()
+        if model is not at:
+            model.drop()
         model, fresh = after, False
         if step <= tol:
             break
         if read > FAILED_SHARE * rows and step < model.apart(at).max() / 2:
+            sums.drop()
+            at.drop()
+            discard(reference)  # each row is in ``vectors``
             reference, at, sums, sizes, rows = refer()
             fresh = True
     if fresh:
         return reference.select(id_col, "cluster")
-    near = model.score(_failing(reference, model.apart(at)).select(id_col, "term_ids", "weights")).select(
+    near = model.score(_weighted(_failing(reference, model.apart(at))).select(id_col, "term_ids", "weights")).select(
         id_col, F.col("cluster").alias("_now"))
     # few rows are left to look at; the rest keeps its cluster
     return reference.select(id_col, "cluster").join(small_side(cut_lineage(near)), id_col, "left").select(
@@ -466,12 +519,15 @@ def lloyd_kmeans(
 
     ``start_ids`` fixes the documents the first centroids are.
     """
-    vectors, _ = tfidf_vectors(df, id_col, text_col, stop_words)
-    vectors = written(vectors.select(id_col, "term_ids", "weights"))
-    starts = list(start_ids) if start_ids is not None else seed_documents(vectors, k, seed, id_col, max_bytes)
+    rows, _, used = raw_vectors(df, id_col, text_col, stop_words)
+    vectors = written(rows.select(id_col, "term_ids", "raw", "square"))
+    for delete in used:
+        delete()
+    reclaim(df.sparkSession)
+    starts = list(start_ids) if start_ids is not None else seed_documents(_weighted(vectors), k, seed, id_col, max_bytes)
     if not starts:  # no answer has a term
         return vectors.select(id_col, F.lit(0).alias("cluster"))
-    centroids = centroids_from_documents(vectors, starts, id_col)
+    centroids = centroids_from_documents(_weighted(vectors), starts, id_col)
     return lloyd_vectors(vectors, centroids, len(starts), max_iter, tol, id_col, max_bytes)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from ..functions.text import bind, exploded, term_counts, terms, unigrams_and_bigrams
-from ..session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, is_small, lookup_join, written
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, discard, is_small, lookup_join, written
 
 # A term is hot when it holds at least this share of all (document, term) pairs,
 # so there are at most 1 / share hot terms whatever the corpus.
@@ -147,11 +147,18 @@ def _least_common(dictionary: DataFrame, max_rows: int) -> int | None:
     return least
 
 
-def _looked_up(counts: DataFrame, dictionary: DataFrame, id_col: str, keep: Sequence[str] = (), whole: bool = True) -> DataFrame:
-    """``(id, terms, tfs, term_ids, weights)`` with the dictionary at hand in every task.
+def unit_weights() -> Column:
+    """The weights of norm 1 of rows that hold ``raw`` ones and ``square``, the sum of their squares."""
+    return bind(F.sqrt("square"), lambda norm: F.transform("raw", lambda w: w / norm))
 
-    Without the ``whole`` dictionary, the weights are not brought to norm 1, ``square`` is the sum of their
-    squares, and ``rest`` holds the counts of the terms that are not in it.
+
+def _looked_up(
+    counts: DataFrame, dictionary: DataFrame, id_col: str, with_terms: bool, keep: Sequence[str] = (), whole: bool = True,
+) -> tuple[DataFrame, Callable[[], None]]:
+    """``(id, terms, tfs, term_ids, raw, square)`` with the dictionary at hand in every task, and what lets go of it.
+
+    ``raw`` are weights before the norm, of which there are few different ones; ``square`` is the sum of their
+    squares. Without the ``whole`` dictionary ``rest`` holds the counts of the terms that are not in it.
     """
     known = dictionary.select("term", "term_id", "idf").toArrow()  # bounded by the caller's check
     shared = counts.sparkSession.sparkContext.broadcast((
@@ -173,30 +180,38 @@ def _looked_up(counts: DataFrame, dictionary: DataFrame, id_col: str, keep: Sequ
             times = tf.to_numpy(zero_copy_only=False)
             weight = times[hit] * factors[at]
             square = np.bincount(own, weight * weight, size)
-            if whole:
-                weight = weight / np.sqrt(square)[own]
-            values = [kept, pa.array(times[hit], pa.int64()), pa.array(numbers[at].astype(np.int64)), pa.array(weight, pa.float64())]
-            columns = [*batch.columns[:place], *(_lists(size, own, x) for x in values)]
+            values = [pa.array(times[hit], pa.int64()), pa.array(numbers[at].astype(np.int64)), pa.array(weight, pa.float64())]
+            if with_terms:
+                values.insert(0, kept)
+            columns = [*batch.columns[:place], *(_lists(size, own, x) for x in values), pa.array(square, pa.float64())]
             if not whole:
                 rest = pa.StructArray.from_arrays([word.filter(pa.array(~hit)), pa.array(times[~hit], pa.int64())], names=["term", "tf"])
-                columns += [pa.array(square, pa.float64()), _lists(size, row[~hit], rest)]
+                columns.append(_lists(size, row[~hit], rest))
             yield pa.RecordBatch.from_arrays(columns, names=shape.fieldNames())
 
-    shape = StructType([rows.schema[c] for c in (id_col, *keep)]).add("terms", ArrayType(StringType())).add(
-        "tfs", ArrayType(LongType())).add("term_ids", ArrayType(LongType())).add("weights", ArrayType(DoubleType()))
+    shape = StructType([rows.schema[c] for c in (id_col, *keep)])
+    if with_terms:
+        shape = shape.add("terms", ArrayType(StringType()))
+    shape = shape.add("tfs", ArrayType(LongType())).add("term_ids", ArrayType(LongType())).add("raw", ArrayType(DoubleType())).add("square", "double")
     if not whole:
-        shape = shape.add("square", "double").add("rest", COUNTS)
-    return rows.mapInArrow(look_up, shape)
+        shape = shape.add("rest", COUNTS)
+    return rows.mapInArrow(look_up, shape), shared.destroy
 
 
-def _joined(counts: DataFrame, dictionary: DataFrame, id_col: str, max_rows: int, with_terms: bool) -> DataFrame:
+def _joined(
+    counts: DataFrame, dictionary: DataFrame, id_col: str, max_rows: int, with_terms: bool,
+) -> tuple[DataFrame, Callable[[], None]]:
     """The same for any dictionary: its most common terms, most of all pairs, are looked up, the others join it.
 
     The rows that come back from the join are numbers of rare terms; they meet their answer by the number of its row.
     """
     least = _least_common(dictionary, max_rows)
     common = F.lit(False) if least is None else F.col("df") >= least
-    placed = written(_looked_up(counts.withColumn("_at", F.monotonically_increasing_id()), dictionary.filter(common), id_col, ["_at"], whole=False))
+    numbered = counts.withColumn("_at", F.monotonically_increasing_id())
+    rows, let_go = _looked_up(numbered, dictionary.filter(common), id_col, with_terms, ["_at"], whole=False)
+    placed = written(rows)
+    let_go()
+    discard(counts)
     totals = dictionary.agg(F.sum("df").alias("pairs"))
     others = dictionary.filter(~common)
     hot = others.filter(F.col("df") >= HOT_SHARE * totals.scalar()).select("term")
@@ -209,12 +224,28 @@ def _joined(counts: DataFrame, dictionary: DataFrame, id_col: str, max_rows: int
     def both(name: str, inner: str) -> Column:
         return F.when(F.col("_entries").isNull(), F.col(name)).otherwise(F.concat(name, F.col(f"_entries.{inner}")))
 
-    # worked out once for the answer: inside the lambda below it would be summed up anew for each of its terms
     squares = F.aggregate(F.coalesce(F.col("_entries.weight"), F.array().cast("array<double>")), F.col("square"), lambda total, w: total + w * w)
-    weights = bind(F.sqrt(squares), lambda norm: F.transform(both("weights", "weight"), lambda w: w / norm))
     return placed.drop("rest").join(entries, "_at", "left").select(
         id_col, *([both("terms", "term").alias("terms")] if with_terms else []), both("tfs", "tf").alias("tfs"),
-        both("term_ids", "term_id").alias("term_ids"), weights.alias("weights"))
+        both("term_ids", "term_id").alias("term_ids"), both("raw", "weight").alias("raw"), squares.alias("square")), lambda: discard(placed)
+
+
+def raw_vectors(
+    df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] | None, max_rows: int = BROADCAST_ROWS,
+    with_terms: bool = False, numbered: bool = True,
+) -> tuple[DataFrame, DataFrame, list[Callable[[], None]]]:
+    """``tfidf_vectors`` with ``raw`` and ``square`` in place of the weights, and what deletes all that they are read from.
+
+    Different raw weights are few, so rows that are written with them take a fraction of the room.
+    """
+    stop_words = resolve_stop_words(df.sparkSession, stop_words)
+    counts = written(_document_counts(df, id_col, text_col, stop_words))  # numbers the terms, then is weighted
+    dictionary = term_dictionary(counts, df.agg(F.count(F.lit(1)).alias("n")).scalar(), numbered)
+    if is_small(dictionary, max_rows):
+        rows, let_go = _looked_up(counts, dictionary, id_col, with_terms)
+    else:
+        rows, let_go = _joined(counts, dictionary, id_col, max_rows, with_terms)
+    return rows, dictionary, [let_go, lambda: discard(counts), lambda: discard(dictionary)]
 
 
 def tfidf_vectors(
@@ -229,14 +260,8 @@ def tfidf_vectors(
     empty arrays. ``id`` is unique. ``with_terms`` adds the words themselves, for which the term ids
     need not be ``numbered``.
     """
-    stop_words = resolve_stop_words(df.sparkSession, stop_words)
-    counts = written(_document_counts(df, id_col, text_col, stop_words))  # numbers the terms, then is weighted
-    dictionary = term_dictionary(counts, df.agg(F.count(F.lit(1)).alias("n")).scalar(), numbered)
-    if is_small(dictionary, max_rows):
-        rows = _looked_up(counts, dictionary, id_col)
-    else:
-        rows = _joined(counts, dictionary, id_col, max_rows, with_terms)
-    return rows.select(id_col, *(["terms"] if with_terms else []), "tfs", "term_ids", "weights"), dictionary
+    rows, dictionary, _ = raw_vectors(df, id_col, text_col, stop_words, max_rows, with_terms, numbered)
+    return rows.select(id_col, *(["terms"] if with_terms else []), "tfs", "term_ids", unit_weights().alias("weights")), dictionary
 
 
 def tfidf(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -86,11 +87,26 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned and that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(file)).getParent()
+        if folder.getName().startswith("table-"):
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then does Spark delete shuffle files and checkpoints that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucketed(df: DataFrame, keys: Sequence[str], placed: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as a table bucketed by ``keys`` and return it with its name in the catalog.
 
